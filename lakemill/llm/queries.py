@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import table
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.length(F.translate(F.hex("hit_words"), "0", ""))  # a hit word is the byte 01
+    return found.select(
+        "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.shard import shard
 
@@ -21,6 +33,12 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.simhash import as_hex, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def oracles() -> dict[str, str]:
     from lakemill.llm.mix import ORACLE
 
@@ -29,4 +47,4 @@ def oracles() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (op7_shard, op8_mix)}
+QUERIES = {f.__name__: f for f in (op6_decontaminate, op7_shard, op8_mix, op10_simhash)}
