@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm import pii
+    from lakemill.llm.spans import joined
+
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), pii.digest("base").alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.decontaminate import decontaminate
 
@@ -33,6 +42,14 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm import secrets
+    from lakemill.llm.spans import joined
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.digest("base").alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.simhash import as_hex, near_duplicates
 
@@ -47,4 +64,4 @@ def oracles() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate, op7_shard, op8_mix, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_pii, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
