@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm import pii
     from lakemill.llm.spans import joined
@@ -64,4 +70,4 @@ def oracles() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}

@@ -88,11 +88,11 @@ def test_secrets_ownership(spark):
 
 
 def test_queries_on_tables(spark):
-    from tests.conftest import SMALL
+    from tests.conftest import MID
 
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MID}/documents.parquet").collect()}
     for f, kinds in ((queries.op2_pii, KINDS2), (queries.op9_secrets, KINDS9)):
-        rows = f(spark, SMALL).collect()
+        rows = f(spark, MID).collect()
         assert len(rows) == len(texts)
         for r in rows:
             want = brute(texts[r.doc_id], kinds)
