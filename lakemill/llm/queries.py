@@ -23,6 +23,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), pii.digest("base").alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
+def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.quality_lines import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.decontaminate import decontaminate
 
@@ -70,4 +83,4 @@ def oracles() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_license_scan, op5_quality_lines, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
