@@ -23,6 +23,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("email"), n("ip"), n("card"), n("phone"), pii.digest("base").alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.license_scan import scan
 
@@ -83,4 +89,4 @@ def oracles() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op4_license_scan, op5_quality_lines, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_html_extract, op4_license_scan, op5_quality_lines, op6_decontaminate, op7_shard, op8_mix, op9_secrets, op10_simhash)}
