@@ -1,0 +1 @@
+"""A PySpark analytics engine for star- and snowflake-schema tables."""

@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakemill.plans import ssb, tpch
+from lakemill.sources import fixture
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    for k, plan in tpch.plans().items():
+        out[k] = lambda spark, d, plan=plan: plan(fixture.tpch(spark, d))
+    for k, plan in ssb.plans().items():
+        out[k] = lambda spark, d, plan=plan: plan(fixture.ssb(spark, d))
+    return out
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    prelude = fixture.sql()
+    return {k: prelude + q for k, q in (tpch.oracles() | ssb.oracles()).items()}
