@@ -24,13 +24,15 @@ from lakemill.llm.spans import joined, spans, tagged
 
 #: The base patterns. A run that a possessive quantifier takes
 #: whole is the run that the plain pattern takes.
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
+ASSIGN = r"""(?=[PSTApsta])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Prefixes of well-known token formats, then the bare token.
-PREFIXED = r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{16,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{30,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
+PREFIXED = r"(?=[gxsAe])(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{16,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{30,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
 RANDOM = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=.-])"
+#: Of every kind but assign, a match holds a run like this.
+LONG = r"[A-Za-z0-9+/_=.-]{20}"
 LIVE_OWNERS = 2
 
 
@@ -52,13 +54,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     value = lambda p: F.regexp_extract(p, ASSIGN_VALUE, 1)
-    kinds = F.concat(
-        tagged(spans(text, ASSIGN, keep=lambda p: F.char_length(value(p)) >= 6), 0, "assign"),
+    assigned = tagged(spans(text, ASSIGN, keep=lambda p: F.char_length(value(p)) >= 6), 0, "assign")
+    long = F.concat(
         tagged(spans(text, ACCESS, "AKIA"), 1, "access"),
         tagged(spans(text, HEX), 2, "hex"),
         tagged(spans(text, PREFIXED), 3, "prefixed"),
         tagged(spans(text, RANDOM, keep=_random_looking), 4, "random"),
     )
+    kinds = F.when(text.rlike(LONG), F.concat(assigned, long)).otherwise(assigned)
     # The key hashes what is secret: the assigned value, or the whole match.
     own = lambda s: F.when(s["rank"] == 0, value(s["match"])).otherwise(s["match"])
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(owner_col), F.lit(0)).alias("owner"), F.sort_array(kinds).alias("found"))
