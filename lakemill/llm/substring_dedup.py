@@ -15,10 +15,11 @@ window over it has the same words as a window of a document with a smaller id.
    the same way, which gives each its owner. A window is identified by its own
    hash together with its gram's: 128 bits.
 4. Automata. Documents come back with the recurring passages confirmed in them.
-   They are taken in shards of bounded size; a shard's confirmed phrases are
-   compiled into Aho-Corasick automata (one sign a word, at most
-   `automaton_phrases` phrases each), all of the shard's documents are streamed
-   through them, and every occurrence owned by a smaller id is removed.
+   They are taken in shards of bounded size; a shard's confirmed passages
+   (maximal runs of confirmed windows) are compiled into Aho-Corasick automata
+   (one sign a word, about `automaton_signs` signs each), all of the shard's
+   documents are streamed through them, and every occurrence of a passage whose
+   owners are all smaller than the document is removed.
 
 No step gathers rows by a key that a document may share with others: sums are
 partial, joins on grams and windows are plain joins whose hot keys adaptive
@@ -42,7 +43,7 @@ from lakemill.llm.textops import Piece, mix, pieces, window_hashes, window_ok
 WIDTH = 13
 GRAM = 5
 SHARD_BYTES = 1 << 20
-AUTOMATON_PHRASES = 80_000
+AUTOMATON_SIGNS = 500_000
 _NO_ID = (1 << 63) - 1  # a null id: larger than any other, so it owns nothing
 
 
@@ -127,26 +128,42 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> I
             yield pa.RecordBatch.from_pydict({"gram": np.repeat(a.gram[found], n).view(np.int64), "window": a.windows[at].view(np.int64), "doc": ids[piece.lo : piece.hi][np.repeat(a.row[found], n)]})
 
 
-def locate(signs: np.ndarray, phrase_at: np.ndarray, owner: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def locate(signs: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
     """Every occurrence in the shard, one sign a word and -1 between rows, of
-    the phrases that start at phrase_at: (start, owner of the phrase)."""
-    starts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(phrase_at), limit):
-        own = phrase_at[lo : lo + limit]
-        used = np.zeros(int(signs.max(initial=0)) + 2, dtype=np.int64)
-        used[signs[(own[:, None] + np.arange(width)).ravel()]] = 1
-        code = np.cumsum(used) * used  # 0: a word of no phrase here
+    the passages signs[first .. last]: (start, end, owner of the passage).
+
+    An automaton gets passages of about `limit` signs in all."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    size = np.cumsum(last - first + 1)
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right")))
+        used = np.zeros(int(signs.max(initial=0)) + 1, dtype=np.int64)
+        for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist()):
+            used[signs[a : b + 1]] = 1
+        code = np.cumsum(used) * used  # 0: a word of no passage here
         code += (code > 0) + 0x800 * (code >= 0xD7FF)  # 1 parts rows, and surrogates are no characters
-        points = np.where(signs < 0, 1, code[signs]).astype("<u4")
-        text = points.tobytes().decode("utf-32-le")
+        text = np.where(signs < 0, 1, code[signs]).astype("<u4").tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton()
-        for at, who in zip(own.tolist(), owner[lo : lo + limit].tolist()):
-            automaton.add_word(text[at : at + width], who)
+        for a, b, who in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), owner[lo:hi].tolist()):
+            automaton.add_word(text[a : b + 1], (b - a, who))
         automaton.make_automaton()
-        hits = np.array(list(automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
-        starts.append(hits[:, 0] - width + 1)
-        owners.append(hits[:, 1])
-    return np.concatenate(starts), np.concatenate(owners)
+        hits = np.array([(end - more, end, who) for end, (more, who) in automaton.iter(text)], dtype=np.int64).reshape(-1, 3)
+        out.append(tuple(hits.T))
+        lo = hi
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _passages(at: np.ndarray, who: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, ...]:
+    """Confirmed windows, by start, to maximal runs: first word, last word and
+    the largest owner. A run of over `limit` words is cut."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.r_[True, (at[1:] != at[:-1] + 1)]
+    run = np.cumsum(new) - 1
+    new |= (at - at[new][run]) % limit == 0
+    begin = np.flatnonzero(new)
+    return at[begin], at[np.r_[begin[1:], len(at)] - 1] + width - 1, np.maximum.reduceat(who, begin)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int, gram: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -169,18 +186,19 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int, gram: int, limit: int
 
             of_word = piece.row_of_word()
             cover = np.zeros(len(piece.starts) + 1, dtype=np.int64)
-            if len(phrase):
-                # One sign a word; signs[k + row] is word k, with a gap after each row.
+            first, last, owner = _passages(phrase, who, width, limit)
+            if len(first):
+                # One sign a word; word k is signs[k + its row], with a gap after each row.
+                place = np.arange(len(of_word)) + of_word
                 signs = np.full(len(piece.starts) + len(piece.rows), -1, dtype=np.int64)
-                signs[np.arange(len(of_word)) + of_word] = np.unique(a.words, return_inverse=True)[1]
-                _, once = np.unique(a.windows[phrase], return_index=True)
-                start, whose = locate(signs, phrase[once] + of_word[phrase[once]], who[once], width, limit)
-                back = np.full(len(signs), 0)
-                back[np.arange(len(of_word)) + of_word] = np.arange(len(of_word))
-                start = back[start]
-                start = start[whose < own_ids[of_word[start]]]
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + width, -1)
+                signs[place] = np.unique(a.words, return_inverse=True)[1]
+                word_at = np.zeros(len(signs), dtype=np.int64)
+                word_at[place] = np.arange(len(of_word))
+                start, end, whose = locate(signs, place[first], place[last], owner, limit)
+                start, end = word_at[start], word_at[end]
+                smaller = whose < own_ids[of_word[start]]
+                np.add.at(cover, start[smaller], 1)
+                np.add.at(cover, end[smaller] + 1, -1)
             cover = np.cumsum(cover)[:-1] > 0
             lost = np.add.reduceat(np.r_[cover, False], np.minimum(piece.first[:-1], len(cover)), dtype=np.int64) * (piece.n_words > 0)
             kept = []
@@ -196,7 +214,7 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int, gram: int, limit: int
             )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, automaton_phrases: int = AUTOMATON_PHRASES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, automaton_signs: int = AUTOMATON_SIGNS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of each row.
 
     Null and empty texts have no words and keep the empty text. Of rows with
@@ -225,4 +243,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     owned = windows.groupBy("gram", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("most")).where("owner < most").drop("most")
     mine = windows.join(owned, ["gram", "window"]).where("owner < doc").groupBy("doc").agg(F.collect_set(F.struct("gram", "window", "owner")).alias("windows"))
     ready = with_grams.join(mine, key == F.col("doc"), "left").select("doc_id", "text", "grams", "windows")
-    return ready.mapInArrow(lambda it: _remove(it, width, gram, automaton_phrases), "doc_id long, n_words long, n_removed long, kept_text string")
+    return ready.mapInArrow(lambda it: _remove(it, width, gram, automaton_signs), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -26,12 +26,12 @@ def run(df, **kw):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in D.dedup(df, **kw).collect()}
 
 
-@pytest.mark.parametrize("phrases", [80_000, 7])
-def test_against_brute_force(spark, phrases):
+@pytest.mark.parametrize("signs", [500_000, 20])
+def test_against_brute_force(spark, signs):
     docs = documents()
     want = brute(docs)
     assert sum(v[1] for v in want.values()) > 500
-    assert run(spark.createDataFrame(docs, SCHEMA).repartition(3), automaton_phrases=phrases) == want
+    assert run(spark.createDataFrame(docs, SCHEMA).repartition(3), automaton_signs=signs) == want
 
 
 def test_on_table(spark):
