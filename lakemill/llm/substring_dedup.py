@@ -230,6 +230,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         .where("least < most")
         .select("gram", F.when(F.col("e0") == F.col("e1"), F.col("least")).alias("owner"))
     )
+    # As a table it is joined like any other, so that adaptive execution can split a hot gram.
+    recurring = stage(recurring, "recurring")
     # Null owner: the gram is open. A document needs an anchor if it is open or owned by a smaller id.
     seen = rows.mapInArrow(lambda it: _anchors(it, width, gram, False), "gram long, doc long")
     needed = seen.join(recurring, "gram").where(F.col("owner").isNull() | (F.col("owner") < F.col("doc")))
@@ -241,6 +243,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     some_open = with_grams.where(F.exists("grams", lambda g: g["open"]))
     windows = stage(some_open.mapInArrow(lambda it: _open_windows(it, width, gram), "gram long, window long, doc long"), "windows")
     owned = windows.groupBy("gram", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("most")).where("owner < most").drop("most")
-    mine = windows.join(owned, ["gram", "window"]).where("owner < doc").groupBy("doc").agg(F.collect_set(F.struct("gram", "window", "owner")).alias("windows"))
+    mine = windows.join(stage(owned, "owned"), ["gram", "window"]).where("owner < doc").groupBy("doc").agg(F.collect_set(F.struct("gram", "window", "owner")).alias("windows"))
     ready = with_grams.join(mine, key == F.col("doc"), "left").select("doc_id", "text", "grams", "windows")
     return ready.mapInArrow(lambda it: _remove(it, width, gram, automaton_signs), "doc_id long, n_words long, n_removed long, kept_text string")
