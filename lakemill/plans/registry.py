@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.plans import ssb, tpch
+from lakemill.plans import slices, ssb, tpch
 from lakemill.sources import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,9 @@ def queries() -> dict[str, Query]:
         out[k] = lambda spark, d, plan=plan: plan(fixture.tpch(spark, d))
     for k, plan in ssb.plans().items():
         out[k] = lambda spark, d, plan=plan: plan(fixture.ssb(spark, d))
-    return out
+    return out | slices.plans()
 
 
 def oracles() -> dict[str, str]:
     prelude = fixture.sql()
-    return {k: prelude + q for k, q in (tpch.oracles() | ssb.oracles()).items()}
+    return {k: prelude + q for k, q in (tpch.oracles() | ssb.oracles()).items()} | slices.oracles()

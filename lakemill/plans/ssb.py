@@ -6,7 +6,7 @@ columns, the fact table to what is used, and the sums are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.functions.fixed import exact_sum
@@ -15,8 +15,9 @@ Tables = dict[str, DataFrame]
 KEYS = {"customer": ("lo_custkey", "c_custkey"), "supplier": ("lo_suppkey", "s_suppkey"), "part": ("lo_partkey", "p_partkey"), "date": ("lo_orderdate", "d_datekey")}
 
 
-def star(t: Tables, filters: dict[str, Column | None], group: tuple[str, ...], total: Column, name: str, fact: Column | None = None, order: tuple | None = None) -> DataFrame:
+def star(t: Tables, filters: dict[str, str | None], group: tuple[str, ...], total: str, name: str, fact: str | None = None, order: tuple[str, ...] | None = None) -> DataFrame:
     """Joins lineorder with each named dimension, filtered, and sums by group.
+    Filters and the total are SQL expressions.
 
     A dimension without group columns only has to have the key: a semi join.
     Dimensions join in the order given: the most selective first."""
@@ -26,31 +27,31 @@ def star(t: Tables, filters: dict[str, Column | None], group: tuple[str, ...], t
         d = t[dim] if where is None else t[dim].where(where)
         used = [c for c in group if c in d.columns]
         out = out.join(d.select(key, *used), F.col(own) == F.col(key), "inner" if used else "left_semi")
-    sums = exact_sum(total).cast("long").alias(name)
+    sums = exact_sum(F.expr(total)).cast("long").alias(name)
     if not group:
         return out.agg(sums)
-    return out.groupBy(*group).agg(sums).orderBy(*(order or group))
+    return out.groupBy(*group).agg(sums).orderBy(*[F.desc(c[1:]) if c[0] == "-" else c for c in order or group])
 
 
-_c = F.col
-_q1 = _c("lo_extendedprice") * _c("lo_discount")
-_profit = _c("lo_revenue") - _c("lo_supplycost")
-_years = _c("d_year").between(1992, 1997)
-_late = _c("d_year").isin(1997, 1998)
-_cities = ("UNITED KI1", "UNITED KI5")
+_q1 = "lo_extendedprice * lo_discount"
+_profit = "lo_revenue - lo_supplycost"
+_years = "d_year BETWEEN 1992 AND 1997"
+_late = "d_year IN (1997, 1998)"
+_cities = "('UNITED KI1', 'UNITED KI5')"
 
 
-def _q1x(day: Column, discount: tuple[int, int], quantity: Column):
-    return lambda t: star(t, {"date": day}, (), _q1, "revenue", _c("lo_discount").between(*discount) & quantity)
+def _q1x(day: str, fact: str):
+    return lambda t: star(t, {"date": day}, (), _q1, "revenue", fact)
 
 
-def _q2x(part: Column, region: str):
-    return lambda t: star(t, {"part": part, "supplier": _c("s_region") == region, "date": None}, ("d_year", "p_brand1"), _c("lo_revenue"), "lo_revenue")
+def _q2x(part: str, region: str):
+    return lambda t: star(t, {"part": part, "supplier": f"s_region = '{region}'", "date": None}, ("d_year", "p_brand1"), "lo_revenue", "lo_revenue")
 
 
-def _q3x(customer: Column, supplier: Column, day: Column, level: str):
+def _q3x(places: str, day: str, level: str):
+    """places: a filter on both sides' places, with {} for c or s."""
     group = (f"c_{level}", f"s_{level}", "d_year")
-    return lambda t: star(t, {"supplier": supplier, "customer": customer, "date": day}, group, _c("lo_revenue"), "revenue", order=("d_year", F.desc("revenue"), *group[:2]))
+    return lambda t: star(t, {"supplier": places.format("s"), "customer": places.format("c"), "date": day}, group, "lo_revenue", "revenue", order=("d_year", "-revenue", *group[:2]))
 
 
 def _q4x(filters: dict, group: tuple[str, ...]):
@@ -65,37 +66,35 @@ def revenue(t: Tables, since: int = 19930101, until: int = 19931231, quantity: i
     """Sum of price times discount over order dates since..until, both ends in.
     With other_filters: discount 1 to 3, quantity below 25. Without: quantity
     below `quantity`, 0 for 100."""
-    days = _c("lo_orderdate").between(since, until)
-    more = _c("lo_discount").between(1, 3) & (_c("lo_quantity") < 25) if other_filters else _c("lo_quantity") < (quantity or 100)
-    return t["lineorder"].where(days & more).agg(exact_sum(_q1).cast("long").alias("revenue"))
+    more = "lo_discount BETWEEN 1 AND 3 AND lo_quantity < 25" if other_filters else f"lo_quantity < {quantity or 100}"
+    return t["lineorder"].where(f"lo_orderdate BETWEEN {since} AND {until} AND {more}").agg(exact_sum(F.expr(_q1)).cast("long").alias("revenue"))
 
 
 def revenue_sweep(t: Tables, ends: tuple[int, ...] = SWEEP, quantity: int = 51) -> DataFrame:
     """revenue from 1992 to each end, without other filters, in one scan."""
-    df = t["lineorder"].where(_c("lo_orderdate").between(19920101, max(ends)) & (_c("lo_quantity") < quantity))
-    one = df.agg(*[exact_sum(F.when(_c("lo_orderdate") <= e, _q1)).cast("long").alias(f"r{e}") for e in ends])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(e).alias("lo_hi"), _c(f"r{e}").alias("revenue")) for e in ends])).alias("x")).select("x.*")
+    df = t["lineorder"].where(f"lo_orderdate BETWEEN 19920101 AND {max(ends)} AND lo_quantity < {quantity}")
+    one = df.agg(*[exact_sum(F.when(F.col("lo_orderdate") <= e, F.expr(_q1))).cast("long").alias(f"r{e}") for e in ends])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(e).alias("lo_hi"), F.col(f"r{e}").alias("revenue")) for e in ends])).alias("x")).select("x.*")
 
 
 def plans() -> dict:
-    am, qty = "AMERICA", _c("lo_quantity")
-    both = {"customer": _c("c_region") == am, "supplier": _c("s_region") == am}
-    mfgr = _c("p_mfgr").isin("MFGR#1", "MFGR#2")
+    both = {"customer": "c_region = 'AMERICA'", "supplier": "s_region = 'AMERICA'"}
+    mfgr, ki = "p_mfgr IN ('MFGR#1', 'MFGR#2')", f"{{}}_city IN {_cities}"
     return {
-        "ssb_q11": _q1x(_c("d_year") == 1993, (1, 3), qty < 25),
-        "ssb_q12": _q1x(_c("d_yearmonthnum") == 199401, (4, 6), qty.between(26, 35)),
-        "ssb_q13": _q1x((_c("d_weeknuminyear") == 6) & (_c("d_year") == 1994), (5, 7), qty.between(26, 35)),
-        "ssb_q21": _q2x(_c("p_category") == "MFGR#12", am),
-        "ssb_q22": _q2x(_c("p_brand1").between("MFGR#2221", "MFGR#2228"), "ASIA"),
-        "ssb_q23": _q2x(_c("p_brand1") == "MFGR#2221", "EUROPE"),
-        "ssb_q31": _q3x(_c("c_region") == "ASIA", _c("s_region") == "ASIA", _years, "nation"),
-        "ssb_q32": _q3x(_c("c_nation") == "UNITED STATES", _c("s_nation") == "UNITED STATES", _years, "city"),
-        "ssb_q33": _q3x(_c("c_city").isin(*_cities), _c("s_city").isin(*_cities), _years, "city"),
-        "ssb_q34": _q3x(_c("c_city").isin(*_cities), _c("s_city").isin(*_cities), _c("d_yearmonth") == "Dec1997", "city"),
-        "ssb_q34_year": _q3x(_c("c_city").isin(*_cities), _c("s_city").isin(*_cities), _c("d_year") == 1997, "city"),
+        "ssb_q11": _q1x("d_year = 1993", "lo_discount BETWEEN 1 AND 3 AND lo_quantity < 25"),
+        "ssb_q12": _q1x("d_yearmonthnum = 199401", "lo_discount BETWEEN 4 AND 6 AND lo_quantity BETWEEN 26 AND 35"),
+        "ssb_q13": _q1x("d_weeknuminyear = 6 AND d_year = 1994", "lo_discount BETWEEN 5 AND 7 AND lo_quantity BETWEEN 26 AND 35"),
+        "ssb_q21": _q2x("p_category = 'MFGR#12'", "AMERICA"),
+        "ssb_q22": _q2x("p_brand1 BETWEEN 'MFGR#2221' AND 'MFGR#2228'", "ASIA"),
+        "ssb_q23": _q2x("p_brand1 = 'MFGR#2221'", "EUROPE"),
+        "ssb_q31": _q3x("{}_region = 'ASIA'", _years, "nation"),
+        "ssb_q32": _q3x("{}_nation = 'UNITED STATES'", _years, "city"),
+        "ssb_q33": _q3x(ki, _years, "city"),
+        "ssb_q34": _q3x(ki, "d_yearmonth = 'Dec1997'", "city"),
+        "ssb_q34_year": _q3x(ki, "d_year = 1997", "city"),
         "ssb_q41": _q4x({**both, "part": mfgr, "date": None}, ("d_year", "c_nation")),
         "ssb_q42": _q4x({**both, "part": mfgr, "date": _late}, ("d_year", "s_nation", "p_category")),
-        "ssb_q43": _q4x({"part": _c("p_category") == "MFGR#14", "supplier": _c("s_nation") == "UNITED STATES", "customer": _c("c_region") == am, "date": _late}, ("d_year", "s_city", "p_brand1")),
+        "ssb_q43": _q4x({"part": "p_category = 'MFGR#14'", "supplier": "s_nation = 'UNITED STATES'", "customer": "c_region = 'AMERICA'", "date": _late}, ("d_year", "s_city", "p_brand1")),
         "ssb_revenue": revenue,
         "ssb_revenue_all_discounts": lambda t: revenue(t, 19920101, 19951231, 51, other_filters=False),
         "ssb_revenue_sweep": revenue_sweep,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.functions.fixed import exact_sum, scaled
@@ -19,7 +19,11 @@ Tables = dict[str, DataFrame]
 SEGMENTS = ("BUILDING", "AUTOMOBILE", "FURNITURE", "MACHINERY", "HOUSEHOLD")
 SIZES = (49, 14, 23, 45, 19, 3, 36, 9)
 
-_net = F.col("l_extendedprice") * (100 - F.col("l_discount"))  # scale 10^4
+
+def _net() -> Column:
+    """Price after discount, scale 10^4."""
+    return F.col("l_extendedprice") * (100 - F.col("l_discount"))
+
 
 
 def q1(t: Tables, until: date = date(1998, 9, 2)) -> DataFrame:
@@ -33,8 +37,8 @@ def q1(t: Tables, until: date = date(1998, 9, 2)) -> DataFrame:
         .agg(
             scaled(exact_sum(F.col("l_quantity")), 100).alias("sum_qty"),
             scaled(exact_sum(F.col("l_extendedprice")), 100).alias("sum_base_price"),
-            scaled(exact_sum(_net), 10**4).alias("sum_disc_price"),
-            scaled(exact_sum(_net * (100 + F.col("l_tax"))), 10**6).alias("sum_charge"),
+            scaled(exact_sum(_net()), 10**4).alias("sum_disc_price"),
+            scaled(exact_sum(_net() * (100 + F.col("l_tax"))), 10**6).alias("sum_charge"),
             mean("l_quantity").alias("avg_qty"), mean("l_extendedprice").alias("avg_price"), mean("l_discount").alias("avg_disc"), n.alias("count_order"),
         )
         .orderBy("l_returnflag", "l_linestatus")
@@ -50,7 +54,7 @@ def q3(t: Tables, segments: tuple[str, ...] | None = ("BUILDING",), day: date |
         customer = customer.where(F.col("c_mktsegment").isin(*segments))
     orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_shippriority").join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     # An order's lines are summed before the join where that shrinks them: the join key is the group key.
-    revenue = line.select("l_orderkey", _net.alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(scaled(F.sum("net"), 10**4).alias("revenue"))
+    revenue = line.select("l_orderkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(scaled(F.sum("net"), 10**4).alias("revenue"))
     out = revenue.select("l_orderkey", "revenue", "o_orderdate", "o_shippriority").orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey")
     return out.limit(limit) if limit else out
 
@@ -67,7 +71,7 @@ def q5(t: Tables, region: str = "ASIA", since: date = date(1994, 1, 1), until: d
     suppliers = t["supplier"].select("s_suppkey", "s_nationkey").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
     customers = t["customer"].select("c_custkey", "c_nationkey").join(nations.select("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     orders = t["orders"].where((F.col("o_orderdate") >= F.lit(since)) & (F.col("o_orderdate") < F.lit(until))).select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    joined = t["lineitem"].select("l_orderkey", "l_suppkey", _net.alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    joined = t["lineitem"].select("l_orderkey", "l_suppkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     return joined.groupBy("n_name").agg(scaled(exact_sum(F.col("net")), 10**4).alias("revenue")).orderBy(F.desc("revenue"), "n_name")
 
 
@@ -78,14 +82,18 @@ def _q6_filters(df: DataFrame, since: date, until: date, discount: tuple[int, in
     return df.where(F.col("l_quantity") < below * 100) if below else df
 
 
-_yield = F.col("l_extendedprice") * F.col("l_discount")  # scale 10^4
+def _yield() -> Column:
+    """Price times discount, scale 10^4."""
+    return F.col("l_extendedprice") * F.col("l_discount")
+
+
 
 
 def revenue(t: Tables, since: date = date(1994, 1, 1), until: date = date(1995, 1, 1), quantity: int | None = None, other_filters: bool = True) -> DataFrame:
     """Q6 and its family. With other_filters: discount 5 to 7 and quantity below
     24. Without: only quantity below `quantity`, 0 or None for any."""
     df = _q6_filters(t["lineitem"], since, until, (5, 7), 24) if other_filters else _q6_filters(t["lineitem"], since, until, None, quantity)
-    return df.agg(scaled(exact_sum(_yield), 10**4).alias("revenue"))
+    return df.agg(scaled(exact_sum(_yield()), 10**4).alias("revenue"))
 
 
 q6 = revenue
@@ -95,7 +103,7 @@ SWEEP = (date(1992, 7, 1), *(date(y, 1, 1) for y in range(1993, 2000)))
 
 def revenue_sweep(t: Tables, ends: tuple[date, ...] = SWEEP, quantity: int = 51) -> DataFrame:
     """Revenue from 1992 to each end, without other filters, in one scan."""
-    sums = [exact_sum(F.when(F.col("l_shipdate") < F.lit(e), _yield)).alias(f"r{k}") for k, e in enumerate(ends)]
+    sums = [exact_sum(F.when(F.col("l_shipdate") < F.lit(e), _yield())).alias(f"r{k}") for k, e in enumerate(ends)]
     one = _q6_filters(t["lineitem"], date(1992, 1, 1), max(ends), None, quantity).agg(*sums)
     return one.select(F.explode(F.array(*[F.struct(F.lit(str(e)).alias("sd_hi"), scaled(F.col(f"r{k}"), 10**4).alias("revenue")) for k, e in enumerate(ends)])).alias("x")).select("x.*")
 
