@@ -1,0 +1 @@
+"""Whole-query plans."""

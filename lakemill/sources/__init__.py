@@ -1,0 +1 @@
+"""Tables in, results out."""

@@ -1,0 +1 @@
+"""No operator of this engine is a stream: all tables are read whole."""
