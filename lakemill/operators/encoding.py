@@ -50,9 +50,14 @@ def run_lengths(df: DataFrame, key: str, column: str, rows: int = 4096) -> DataF
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """Codes from 0 in binary order of the values, so that ranges of codes are
-    ranges of values."""
+    ranges of values. Values are ranked within their first two signs, and the
+    prefixes' counts give each rank its offset, so no task sorts all values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.select("value", "n_rows", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    counts = counts.withColumn("_prefix", F.substring("value", 1, 2))
+    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy("value")) - 1)
+    return ranked.join(offsets, "_prefix").select("value", "n_rows", (F.col("_offset") + F.col("_rank")).cast("int").alias("code"))
 
 
 def static_codec(dtype: str, width: int | None = None) -> str:

@@ -12,7 +12,7 @@ from lakemill.functions import text
 from lakemill.functions.fixed import exact_sum, scaled, yyyymmdd
 from lakemill.operators import encoding, layout, relational, zonemap
 from lakemill.operators.zonemap import Between, point
-from lakemill.plans import tpch
+from lakemill.plans import ssb, tpch
 from lakemill.sources import fixture
 
 CHUNK = 512  # order keys
@@ -241,6 +241,40 @@ def sideways_prune_ssb_q4(spark, d):
     return zonemap.evaluate(_ssb_zones(spark, d, "s_region", "c_region", "p_mfgr"), point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2")).select("chunk_id", "n_rows", "active")
 
 
+def _wide(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return t | {"lineitem": layout.wide_lineitem(t), "orders": layout.wide_orders(t)}
+
+
+def sideways_tpch_q3(spark, d):
+    """Q3 over denormalised tables, pruned by segment and order date before it joins."""
+    return tpch.q3(_wide(_t(spark, d)))
+
+
+def sideways_tpch_q5(spark, d):
+    return tpch.q5(_wide(_t(spark, d)))
+
+
+def _wide_ssb(spark, d, name):
+    t = fixture.ssb(spark, d)
+    return ssb.plans()[name](t | {"lineorder": layout.wide_lineorder(t)})
+
+
+def sideways_ssb_q21(spark, d):
+    return _wide_ssb(spark, d, "ssb_q21")
+
+
+def sideways_ssb_q31(spark, d):
+    return _wide_ssb(spark, d, "ssb_q31")
+
+
+def sideways_ssb_q42(spark, d):
+    return _wide_ssb(spark, d, "ssb_q42")
+
+
+def op_sequential_ids(spark, d):
+    return relational.sampled_ids(_raw(spark, d, "region"), 3, 11, 20, random=False).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def encoding_bit_packing(spark, d):
     return encoding.bit_packing(_raw(spark, d, "orders"), "o_orderkey", "o_custkey")
 
@@ -342,6 +376,10 @@ def oracles() -> dict[str, str]:
         "zonemap_other_column": t + f", {orders_map} SELECT {chunk('l_orderkey')} AS chunk_id, count(*) AS n_lines FROM t_lineitem WHERE {chunk('l_orderkey')} IN (SELECT chunk_id FROM om WHERE {june}) GROUP BY 1",
         "zonemap_scan_orders": t + " SELECT o_orderkey, o_orderdate FROM t_orders WHERE o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1994-02-01'",
         "zonemap_scan_q6": t + " " + tpch.oracles()["tpch_q6"],
+        **{f"sideways_{k}": f"{t} {(tpch.oracles() | ssb.oracles())[k]}" for k in ("tpch_q3", "tpch_q5", "ssb_q21", "ssb_q31", "ssb_q42")},
+        "codec_static_rule": """SELECT table_name, column_name, CASE WHEN column_name IN ('l_returnflag', 'l_linestatus', 'o_orderstatus') THEN 'pfor' WHEN data_type = 'BIGINT' THEN 'pfor64' WHEN data_type = 'VARCHAR' THEN 'lz4' ELSE 'pfor' END AS codec
+          FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'lineitem')""",
+        "op_sequential_ids": "SELECT 3 + i % 8 AS id, count(*) AS n FROM range(20) r(i) GROUP BY 1",
         "layout_wide_orders": t + f", {wide_o} SELECT r_name, c_mktsegment, count(*) AS n_orders, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM wo GROUP BY ALL",
         "layout_wide_lineitem": t + f", {wide_l} SELECT r_name, c_mktsegment, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM wl GROUP BY ALL",
         "layout_wide_lineorder": t + f", {wide_s} SELECT s_region, c_region, p_mfgr, count(*) AS n_lines, CAST(sum(lo_revenue) AS BIGINT) AS lo_revenue FROM ws GROUP BY ALL",

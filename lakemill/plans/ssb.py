@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.functions.fixed import exact_sum
+from lakemill.operators.layout import prune_sideways
 
 Tables = dict[str, DataFrame]
 KEYS = {"customer": ("lo_custkey", "c_custkey"), "supplier": ("lo_suppkey", "s_suppkey"), "part": ("lo_partkey", "p_partkey"), "date": ("lo_orderdate", "d_datekey")}
@@ -20,8 +21,11 @@ def star(t: Tables, filters: dict[str, str | None], group: tuple[str, ...], tota
     Filters and the total are SQL expressions.
 
     A dimension without group columns only has to have the key: a semi join.
+    A denormalised lineorder is pruned by the filters before any join.
     Dimensions join in the order given: the most selective first."""
     out = t["lineorder"] if fact is None else t["lineorder"].where(fact)
+    out = prune_sideways(out, *filters.values())
+    out = out.select(*[c for c in out.columns if c.startswith("lo_")])
     for dim, where in filters.items():
         own, key = KEYS[dim]
         d = t[dim] if where is None else t[dim].where(where)

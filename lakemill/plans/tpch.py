@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions.fixed import exact_sum, scaled
 from lakemill.functions.text import like_ordered
+from lakemill.operators.layout import prune_sideways
 
 Tables = dict[str, DataFrame]
 #: Market segments in the order in which selectivity adds them.
@@ -50,8 +51,11 @@ def q3(t: Tables, segments: tuple[str, ...] | None = ("BUILDING",), day: date |
     customer, orders, line = t["customer"], t["orders"], t["lineitem"]
     if day is not None:
         orders, line = orders.where(F.col("o_orderdate") < F.lit(day)), line.where(F.col("l_shipdate") > F.lit(day))
+        line = prune_sideways(line, f"o_orderdate < DATE '{day}'")
     if segments is not None:
         customer = customer.where(F.col("c_mktsegment").isin(*segments))
+        chosen = f"c_mktsegment IN ({', '.join(repr(x) for x in segments)})"
+        orders, line = prune_sideways(orders, chosen), prune_sideways(line, chosen)
     orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_shippriority").join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     # An order's lines are summed before the join where that shrinks them: the join key is the group key.
     revenue = line.select("l_orderkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(scaled(F.sum("net"), 10**4).alias("revenue"))
@@ -67,11 +71,12 @@ def q3sel(t: Tables, percent: int = 20, other_filters: bool = True) -> DataFrame
 
 def q5(t: Tables, region: str = "ASIA", since: date = date(1994, 1, 1), until: date = date(1995, 1, 1)) -> DataFrame:
     """Local supplier volume."""
+    near = (f"r_name = '{region}'", f"o_orderdate >= DATE '{since}' AND o_orderdate < DATE '{until}'")
     nations = t["nation"].join(t["region"].where(F.col("r_name") == region).select("r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey", "n_name")
     suppliers = t["supplier"].select("s_suppkey", "s_nationkey").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
     customers = t["customer"].select("c_custkey", "c_nationkey").join(nations.select("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    orders = t["orders"].where((F.col("o_orderdate") >= F.lit(since)) & (F.col("o_orderdate") < F.lit(until))).select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    joined = t["lineitem"].select("l_orderkey", "l_suppkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    orders = prune_sideways(t["orders"], near[0]).where((F.col("o_orderdate") >= F.lit(since)) & (F.col("o_orderdate") < F.lit(until))).select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    joined = prune_sideways(t["lineitem"], *near).select("l_orderkey", "l_suppkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     return joined.groupBy("n_name").agg(scaled(exact_sum(F.col("net")), 10**4).alias("revenue")).orderBy(F.desc("revenue"), "n_name")
 
 
