@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakemill.llm.common import stage
+
 WEIGHTS = (5, 2, 1)
 SEEDS = 16
 _RANGE = 1 << 32
@@ -37,7 +39,8 @@ def _draws(doc_id: Column) -> list[Column]:
 
 
 def targets(sources: DataFrame, most: int = 3) -> DataFrame:
-    """(source, source_size) to that and target, rate. One row a source."""
+    """(source, source_size) to that and target, rate. One row a source, and
+    one task orders them: sources are names, not data."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
     s = sources.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most)
@@ -63,14 +66,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     kept = docs.drop("size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_seed")
     sized = kept.withColumn("size", words(F.col(text_col)))
-    small = sized.select(F.col(source_col).alias("own"), "size", F.col(id_col).alias("id"))
-    plan = targets(small.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size")), most)
+    # The texts are counted once for both sums; the two tables of sources are
+    # staged so that their size is known when rows are joined with them.
+    small = stage(sized.select(F.col(source_col).alias("own"), "size", F.col(id_col).alias("id")), "sizes")
+    plan = stage(targets(small.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size")), most), "targets")
     part = F.col("rate") - F.floor("rate")
     taken = small.join(plan, F.col("own").eqNullSafe(F.col("source"))).select("source", "source_size", "target", "rate", "size", F.array(*_draws(F.col("id"))).alias("draws"))
     sums = [F.sum(F.when(F.col("draws")[k] < part * _RANGE, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)]
     off = lambda k: F.abs(F.col(f"s{k}") - part * F.col("source_size"))
     best = F.least(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)])["seed"]
     seeds = taken.groupBy("source", "source_size", "target", "rate").agg(*sums).select(F.col("source").alias("mix_source"), "source_size", "target", F.col("rate").alias("mix_rate"), best.alias("mix_seed"))
+    seeds = stage(seeds, "seeds")
     part = F.col("mix_rate") - F.floor("mix_rate")
     copies = F.floor("mix_rate") + (F.array(*_draws(F.col(id_col)))[F.col("mix_seed")] < part * _RANGE).cast("long")
     return sized.join(seeds, F.col(source_col).eqNullSafe(F.col("mix_source")), "left").withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long")).drop("mix_source", "mix_rate", "mix_seed")
