@@ -13,8 +13,11 @@ block of pairs is left as soon as all its distances exceed the radius. Planes of
 the bucket's own key are equal by construction and are skipped.
 
 Exact copies collapse to one fingerprint before any comparison. A bucket of
-over `chunk` distinct fingerprints is cut into chunks and each pair of chunks
-is one unit of work, so no task holds a whole hot bucket. A unit emits at most
+over `chunk` distinct fingerprints is dealt again by the same argument: its
+pairs differ in at most two of the four half blocks outside its key, so they
+share one of six longer keys. If a longer key's bucket is still that large, it
+is cut into chunks and each pair of chunks is one unit of work, so no task holds
+a whole hot bucket. A unit emits at most
 one link a fingerprint, to the least member of its component in the unit, never
 all pairs. Components are then joined across units by alternating large-star
 and small-star rounds over stage tables.
@@ -39,8 +42,14 @@ SHINGLE = 3
 RADIUS = 2
 CHUNK = 4096
 BLOCKS = [list(range(16 * b, 16 * b + 16)) for b in range(4)]
-#: Of each table, the bits of its key.
+#: Of each table, the bits of its key: two blocks. After these six, for each of
+#: them six more for its hot keys, which add two of the four half blocks outside.
 TABLES = [sorted(BLOCKS[a] + BLOCKS[b]) for a, b in combinations(range(4), 2)]
+FIRST = len(TABLES)
+for _key in TABLES[:FIRST]:
+    _rest = [b for b in range(64) if b not in _key]
+    _halves = [_rest[8 * h : 8 * h + 8] for h in range(4)]
+    TABLES += [sorted(_key + _halves[a] + _halves[b]) for a, b in combinations(range(4), 2)]
 
 
 def shingle_hashes(text: bytes) -> list[bytes]:
@@ -180,14 +189,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     if radius > 2:
         raise ValueError("the four blocks prove candidates for a radius of at most 2")
     masks = [sum(1 << b for b in bits) for bits in TABLES]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("tab", "key"))
-    hot = keys.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).withColumn("chunks", F.ceil(F.col("n") / (chunk // 2)).cast("long"))
-    own = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("chunks"))
-    # Unit (i, j) of a hot bucket has number i * chunks + j, i < j; a chunk is in each unit with another one.
-    other = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != own), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
-    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(other)
-    units = keys.join(hot.select("tab", "key", "chunks"), ["tab", "key"], "left").select("tab", "key", F.explode(parts).alias("part"), "fp")
+    key = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
+    crowded = lambda rows: stage(rows.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk), "hot")
+    rows = distinct.select("fp", F.posexplode(F.array(*key[:FIRST])).alias("tab", "key"))
+    hot = crowded(rows)
+    units = rows.withColumn("part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        is_hot = hot.select("tab", "key")
+        longer = F.array(*[F.array(*[F.struct(F.lit(t).alias("tab"), key[t].alias("key")) for t in range(FIRST + 6 * k, FIRST + 6 * k + 6)]) for k in range(FIRST)])
+        again = rows.join(is_hot, ["tab", "key"], "left_semi").select("fp", F.explode(longer[F.col("tab")]).alias("x")).select("x.tab", "x.key", "fp")
+        own = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("chunks"))
+        # Unit (i, j) has number i * chunks + j, i < j; a chunk is in each unit with another one.
+        other = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != own), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
+        parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(other)
+        cut = crowded(again).withColumn("chunks", F.ceil(F.col("n") / (chunk // 2)).cast("long")).drop("n")
+        again = again.join(cut, ["tab", "key"], "left").select("tab", "key", "fp", F.explode(parts).alias("part"))
+        units = units.join(is_hot, ["tab", "key"], "left_anti").unionByName(again)
     units = units.repartition("tab", "key", "part").sortWithinPartitions("tab", "key", "part", "fp")
     return units.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 

@@ -38,7 +38,7 @@ def test_against_brute_force(spark):
     assert got == {d: (fps[d], want[d]) for d in fps}
 
 
-@pytest.mark.parametrize("chunk", [4096, 40])
+@pytest.mark.parametrize("chunk", [4096, 40, 8])
 def test_links_of_dense_fingerprints(spark, chunk):
     """Random walks of bit flips: long chains and hot buckets."""
     rnd = random.Random(chunk)
