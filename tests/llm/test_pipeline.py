@@ -59,4 +59,27 @@ def test_empty(spark):
         assert step(spark, docs, SMALL).collect() == []
 
 
+def test_awkward_rows_and_clashing_columns(spark):
+    """Nulls in every column, repeated rows, and columns that operators use
+    themselves: all stages work, and the extra columns come through unchanged."""
+    import random
+
+    from tests.llm.corpus import documents, prose
+
+    rnd = random.Random(1)
+    rows = [(*d, f"e{d[0]}", d[0], float(d[0]), "x", d[0] % 2 == 0) for d in documents()]
+    rows += [(500 + k, prose(rnd, 90) + ".", "en", "b", 5, None, None, None, None, None) for k in range(30)]
+    rows += [rows[-1], rows[-1], (None, None, None, None, None, None, None, None, None, None), (None, prose(rnd, 70), None, None, None, "n", 1, 1.0, "y", True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, Size long, target double, copies string, kept boolean"
+    docs = spark.createDataFrame(rows, schema)
+    extra = {r[0]: r[5:] for r in rows if r[0] is not None}
+    for _, step in P.STAGES[:-1]:
+        docs = P.stage(step(spark, docs, SMALL), "test")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == extra[r.doc_id] for r in got if r.doc_id is not None)
+    final = P.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(final) == len(got)
+
+
 assert S.RADIUS == 2
