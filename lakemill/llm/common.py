@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 16 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to hand rows to Python in batches of at most
+    BATCH_BYTES: a worker's memory then doesn't depend on how long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so
     that later steps neither recompute it nor depend on any one executor."""

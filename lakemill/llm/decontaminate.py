@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import stage
+from lakemill.llm.common import in_batches, stage
 
 WIDTH = 10
 SHARD_CHARS = 8_000_000
@@ -115,14 +115,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     docs with these four names are replaced. Empty tables: no rows, no hits.
     """
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("words"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("words")).where("words <> ''")
     chars = items.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     out = docs.drop("n_words", "hit_words", "hit_items", "contaminated").withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.lit(None).cast("binary"), "hit_items": F.lit(None).cast("array<string>")})
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
         sent = sc.broadcast(compile_items([(r[0], r[1].encode()) for r in own.collect()], width))  # about shard_chars characters
-        out = out.mapInArrow(lambda it, sent=sent: _scan(it, sent.value, text_col), out.schema)
+        out = in_batches(out).mapInArrow(lambda it, sent=sent: _scan(it, sent.value, text_col), out.schema)
         if k + 1 < shards:
             out = stage(out, "decontaminate")
     return out.withColumn("contaminated", F.size("hit_items") > 0)

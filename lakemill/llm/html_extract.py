@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm import boost
+from lakemill.llm.common import in_batches
 
 MADE = 500
 
@@ -384,4 +385,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     trees = model()
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(lambda it: _extract(it, trees), "page_id long, url string, text string")
+    return in_batches(rows).mapInArrow(lambda it: _extract(it, trees), "page_id long, url string, text string")

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.common import in_batches
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -123,4 +125,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     reported alike. Empty table: no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _scan(it, phrases, notices), f"doc_id long, {SCHEMA}")
+    return in_batches(rows).mapInArrow(lambda it: _scan(it, phrases, notices), f"doc_id long, {SCHEMA}")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm.common import in_batches
 from lakemill.llm.textops import SPACE, Piece, mix, pieces, window_hashes, window_ok
 
 SAMPLE = 600
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [labels.where(F.col(label_col) == q).groupBy(id_col).agg(F.lit(q).alias("y")).orderBy(*order).limit(sample) for q in (0, 1)]
     chosen = picked[0].unionAll(picked[1])  # at most 2 * sample rows
     texts = docs.select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("sample_text")).join(F.broadcast(chosen), id_col)
+    texts = texts.groupBy(id_col, "y").agg(F.min("sample_text").alias("sample_text"))  # repeated ids count once
     rows = sorted((r[id_col], r["y"], r["sample_text"]) for r in texts.where("sample_text is not null").collect())
     made = [(y, *lines_of(t.encode())[1:3]) for _, y, t in rows]
     made = [(y, x[:SAMPLE_LINES], n[:SAMPLE_LINES]) for y, x, n in made if len(x)]
@@ -233,4 +235,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     field = train(docs, labels, id_col, text_col, label_col, sample)
     out = docs.drop(*NEW).withColumns({c: F.lit(None).cast(kind) for c, kind in NEW.items()})
-    return out.mapInArrow(lambda it: _label(it, text_col, field), out.schema)
+    return in_batches(out).mapInArrow(lambda it: _label(it, text_col, field), out.schema)

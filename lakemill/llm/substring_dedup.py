@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import stage
+from lakemill.llm.common import in_batches, stage
 from lakemill.llm.textops import Piece, mix, pieces, window_hashes, window_ok
 
 WIDTH = 13
@@ -222,7 +222,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     is larger than any other. Empty table: no rows. Other columns are not
     looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     anchors = rows.mapInArrow(lambda it: _anchors(it, width, gram, True), "gram long, doc long, extent long")
     recurring = (
         anchors.groupBy("gram")

@@ -78,6 +78,7 @@ def test_awkward_rows_and_clashing_columns(spark):
         assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         got = docs.collect()
         assert got and all(tuple(r)[5:] == extra[r.doc_id] for r in got if r.doc_id is not None)
+    assert sum(r.doc_id is None for r in got) > 0 and len({r.doc_id for r in got}) > 20
     final = P.STAGES[-1][1](spark, docs, SMALL).collect()
     assert len(final) == len(got)
 
