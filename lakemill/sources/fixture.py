@@ -48,36 +48,48 @@ def _brand_number(brand: Column) -> Column:
     return F.substring(brand, 7, 4).cast("int")
 
 
+class Tables(dict):
+    """Tables that are opened when a plan asks for them; values are functions
+    without arguments, or tables."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        made = super().__getitem__(name)
+        if callable(made) and not isinstance(made, DataFrame):
+            self[name] = made = made()
+        return made
+
+    def __or__(self, other: dict) -> Tables:
+        return Tables(dict(self.items()) | dict(other.items()))
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tpch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def tpch(spark: SparkSession, sf_dir: str) -> Tables:
     """lineitem, orders, customer, part, supplier, partsupp, nation, region."""
-    line = raw(spark, sf_dir, "lineitem")
-    b = _brand_number(F.col("p_brand"))
-    return {
-        "lineitem": line.withColumns({c: hundredths(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}).withColumn("l_shipdate", _shift(F.col("l_shipdate"))),
-        "orders": raw(spark, sf_dir, "orders")
-        .where(F.col("o_custkey") % 3 != 0)
-        .withColumns({
+    read = lambda name: raw(spark, sf_dir, name)
+    b = lambda: _brand_number(F.col("p_brand"))
+    return Tables({
+        "lineitem": lambda: read("lineitem").withColumns({c: hundredths(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {"l_shipdate": _shift(F.col("l_shipdate"))}),
+        "orders": lambda: read("orders").where(F.col("o_custkey") % 3 != 0).withColumns({
             "o_orderdate": _shift(F.col("o_orderdate")),
             "o_shippriority": F.lit(0),
             "o_comment": F.when(F.col("o_orderkey") % 50 == 7, "the special big requests").otherwise("requests special"),
         }),
-        "customer": raw(spark, sf_dir, "customer"),
-        "part": raw(spark, sf_dir, "part").withColumns({
-            "p_brand": F.concat(F.lit("Brand#"), (_div(b - 1, 5) + 1).cast("string"), ((b - 1) % 5 + 1).cast("string")),
+        "customer": lambda: read("customer"),
+        "part": lambda: read("part").withColumns({
+            "p_brand": F.concat(F.lit("Brand#"), (_div(b() - 1, 5) + 1).cast("string"), ((b() - 1) % 5 + 1).cast("string")),
             "p_type": F.concat_ws(" ", "p_type", _pick(FINISHES, _div(F.col("p_partkey"), 6) % 5), _pick(METALS, _div(F.col("p_partkey"), 30) % 5)),
         }),
-        "supplier": raw(spark, sf_dir, "supplier").withColumn("s_comment", F.when(F.col("s_suppkey") % 10 == 7, "x Customer y Complaints z").otherwise("x Complaints Customer")),
-        "partsupp": line.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct(),
-        "nation": raw(spark, sf_dir, "nation").withColumn("n_name", _nation(F.col("n_nationkey"))),
-        "region": raw(spark, sf_dir, "region").withColumn("r_name", _pick(REGIONS, F.col("r_regionkey"))),
-    }
+        "supplier": lambda: read("supplier").withColumn("s_comment", F.when(F.col("s_suppkey") % 10 == 7, "x Customer y Complaints z").otherwise("x Complaints Customer")),
+        "partsupp": lambda: read("lineitem").select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct(),
+        "nation": lambda: read("nation").withColumn("n_name", _nation(F.col("n_nationkey"))),
+        "region": lambda: read("region").withColumn("r_name", _pick(REGIONS, F.col("r_regionkey"))),
+    })
 
 
-def ssb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def ssb(spark: SparkSession, sf_dir: str) -> Tables:
     """lineorder, customer, supplier, part, date."""
 
     def place(df: DataFrame, p: str, key: str) -> DataFrame:
@@ -85,27 +97,37 @@ def ssb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         digit = F.when(F.col(key) % 3 == 0, "1").when(F.col(key) % 3 == 1, "5").otherwise((F.col(key) % 10).cast("string"))
         return df.select(key, nation.alias(f"{p}_nation"), _pick(REGIONS, F.col(f"{p}_nationkey") % 5).alias(f"{p}_region"), F.concat(F.rpad(F.substring(nation, 1, 9), 9, " "), digit).alias(f"{p}_city"))
 
-    b = _brand_number(F.col("p_brand"))
-    mfgr = F.concat(F.lit("MFGR#"), (_div(b - 1, 5) + 1).cast("string"))
-    category = F.concat(mfgr, ((b - 1) % 5 + 1).cast("string"))
-    days = spark.range(2557).select(F.date_add(F.lit("1992-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
-    line, orders = raw(spark, sf_dir, "lineitem"), raw(spark, sf_dir, "orders")
-    price, qty, disc = hundredths(F.col("l_extendedprice")), F.round("l_quantity").cast("long"), hundredths(F.col("l_discount"))
-    return {
-        "lineorder": line.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("l_orderkey").alias("lo_orderkey"), F.col("o_custkey").alias("lo_custkey"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"),
-            yyyymmdd(_shift(F.col("o_orderdate"))).alias("lo_orderdate"), qty.alias("lo_quantity"), price.alias("lo_extendedprice"), disc.alias("lo_discount"),
-            F.floor(price * (100 - disc) / 100).alias("lo_revenue"), F.floor(price * 6 / (qty * 10)).alias("lo_supplycost"),
-        ),
-        "customer": place(raw(spark, sf_dir, "customer"), "c", "c_custkey"),
-        "supplier": place(raw(spark, sf_dir, "supplier"), "s", "s_suppkey"),
-        "part": raw(spark, sf_dir, "part").select("p_partkey", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, (_div(F.col("p_partkey"), 25) % 40 + 1).cast("string")).alias("p_brand1")),
-        "date": days.select(
+    read = lambda name: raw(spark, sf_dir, name)
+
+    def part() -> DataFrame:
+        b = _brand_number(F.col("p_brand"))
+        mfgr = F.concat(F.lit("MFGR#"), (_div(b - 1, 5) + 1).cast("string"))
+        category = F.concat(mfgr, ((b - 1) % 5 + 1).cast("string"))
+        return read("part").select("p_partkey", mfgr.alias("p_mfgr"), category.alias("p_category"), F.concat(category, (_div(F.col("p_partkey"), 25) % 40 + 1).cast("string")).alias("p_brand1"))
+
+    def dates() -> DataFrame:
+        days = spark.range(2557).select(F.date_add(F.lit("1992-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+        return days.select(
             yyyymmdd(F.col("day")).alias("d_datekey"), F.year("day").alias("d_year"), (F.year("day") * 100 + F.month("day")).alias("d_yearmonthnum"),
             F.date_format("day", "MMMyyyy").alias("d_yearmonth"), (_div(F.dayofyear("day") - 1, 7) + 1).cast("int").alias("d_weeknuminyear"),
-        ),
-    }
+        )
 
+    def lineorder() -> DataFrame:
+        price, qty, disc = hundredths(F.col("l_extendedprice")), F.round("l_quantity").cast("long"), hundredths(F.col("l_discount"))
+        orders = read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        return read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.col("l_orderkey").alias("lo_orderkey"), F.col("o_custkey").alias("lo_custkey"), F.col("l_partkey").alias("lo_partkey"), F.col("l_suppkey").alias("lo_suppkey"),
+            yyyymmdd(_shift(F.col("o_orderdate"))).alias("lo_orderdate"), qty.alias("lo_quantity"), price.alias("lo_extendedprice"), disc.alias("lo_discount"),
+            F.floor(price * (100 - disc) / 100).alias("lo_revenue"), F.floor(price * 6 / (qty * 10)).alias("lo_supplycost"),
+        )
+
+    return Tables({
+        "lineorder": lineorder,
+        "customer": lambda: place(read("customer"), "c", "c_custkey"),
+        "supplier": lambda: place(read("supplier"), "s", "s_suppkey"),
+        "part": part,
+        "date": dates,
+    })
 
 
 def sql() -> str:
