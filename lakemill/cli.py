@@ -1,7 +1,8 @@
-"""Command line: `python -m lakemill.cli query|load|sort|histogram|checksum`.
+"""Command line: `python -m lakemill.cli query|verify|load|sort|histogram|checksum`.
 
 query runs one TPC-H or SSB plan over a folder of tables and prints rows as
-text or one JSON line with its times; load turns .tbl files into Parquet; sort
+text or one JSON line with its times; verify compares a saved result with a
+golden answer; load turns .tbl files into Parquet; sort
 writes denormalised, sorted fact files; histogram and checksum scan a column.
 """
 
@@ -21,6 +22,7 @@ from lakemill.operators import layout
 from lakemill.plans import ssb, tpch
 from lakemill.session import session
 from lakemill.sources import files, fixture
+from lakemill.verify import compare_files
 
 TPCH = {"q1": tpch.q1, "q3": tpch.q3, "q5": tpch.q5, "q6": tpch.q6, "q13": tpch.q13, "q16": tpch.q16}
 
@@ -44,6 +46,11 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--trials", type=int, default=1)
     q.add_argument("--output", choices=("text", "json"), default="text")
     q.add_argument("--save", help="also write the result as delimited text")
+    v = sub.add_parser("verify")
+    v.add_argument("result")
+    v.add_argument("answer")
+    v.add_argument("--relative", type=float, default=0.0, help="relative tolerance of numbers")
+    v.add_argument("--last-digit", type=int, default=None, help="numbers may be off by one in this decimal place")
     load = sub.add_parser("load")
     load.add_argument("source")
     load.add_argument("target")
@@ -107,6 +114,10 @@ def run_query(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "verify":
+        found = compare_files(a.result, a.answer, a.relative, a.last_digit)
+        print("\n".join(found) or "same")
+        return int(bool(found))
     spark = spark or session(a.master)
     if a.command == "query":
         run_query(spark, a)

@@ -57,7 +57,7 @@ def q3(t: Tables, segments: tuple[str, ...] | None = ("BUILDING",), day: date |
         chosen = f"c_mktsegment IN ({', '.join(repr(x) for x in segments)})"
         orders, line = prune_sideways(orders, chosen), prune_sideways(line, chosen)
     orders = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_shippriority").join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    # An order's lines are summed before the join where that shrinks them: the join key is the group key.
+    # Rows are dealt by order key for the join, and the groups contain it: the sums need no further exchange.
     revenue = line.select("l_orderkey", _net().alias("net")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate", "o_shippriority").agg(scaled(F.sum("net"), 10**4).alias("revenue"))
     out = revenue.select("l_orderkey", "revenue", "o_orderdate", "o_shippriority").orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey")
     return out.limit(limit) if limit else out

@@ -3,9 +3,11 @@ last-digit or relative tolerance for numbers."""
 
 from __future__ import annotations
 
+import csv
 import math
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -50,3 +52,37 @@ def compare(df: DataFrame, columns: list[str], want: list[tuple], relative: floa
         return [f"columns {sorted(df.columns)}, expected {names}"]
     got = [tuple(r) for r in df.select(*columns).collect()]
     return same_rows(got, want, relative, 10.0**-last_digits * 1.000001 if last_digits is not None else 0.0)
+
+
+def _value(field: str) -> Any:
+    for kind in (int, float):
+        try:
+            return kind(field)
+        except ValueError:
+            pass
+    return field or None
+
+
+def read_answer(path: str) -> tuple[list[str], list[tuple]]:
+    """Columns and rows of a `|`-delimited answer with a header: a file, or a
+    folder of part files that each have one."""
+    at = Path(path)
+    parts = sorted(at.glob("part-*")) if at.is_dir() else [at]
+    columns: list[str] = []
+    rows: list[tuple] = []
+    for p in parts:
+        with p.open(newline="") as f:
+            lines = list(csv.reader(f, delimiter="|"))
+        if lines:
+            columns = [c.strip().lower() for c in lines[0]]
+            rows += [tuple(map(_value, r)) for r in lines[1:]]
+    return columns, rows
+
+
+def compare_files(got: str, want: str, relative: float = 0.0, last_digits: int | None = None) -> list[str]:
+    """Differences between two answers; columns may stand in another order."""
+    (a, rows_a), (b, rows_b) = read_answer(got), read_answer(want)
+    if sorted(a) != sorted(b):
+        return [f"columns {sorted(a)}, expected {sorted(b)}"]
+    rows_a = [tuple(r[a.index(c)] for c in b) for r in rows_a]
+    return same_rows(rows_a, rows_b, relative, 10.0**-last_digits * 1.000001 if last_digits is not None else 0.0)

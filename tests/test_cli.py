@@ -42,6 +42,21 @@ def test_scans(spark, capsys):
     assert run(spark, capsys, "checksum", path, "c_name")[0].split("|")[:2] == ["c_name", str(n)]
 
 
+def test_save_and_verify(spark, capsys, tmp_path):
+    run(spark, capsys, "query", "q1", SMALL, "--format", "fixture", "--save", str(tmp_path / "r"))
+    rows = registry.queries()["tpch_q1"](spark, SMALL).collect()
+    header = list(rows[0].asDict())
+    lines = ["|".join(header[::-1])] + ["|".join(str(r[c]) for c in header[::-1]) for r in rows[::-1]]
+    (tmp_path / "answer").write_text("\n".join(lines) + "\n")
+    assert run(spark, capsys, "verify", str(tmp_path / "r"), str(tmp_path / "answer")) == ["same"]
+    (tmp_path / "other").write_text("\n".join(lines[:-1]) + "\n")
+    assert cli.main(["verify", str(tmp_path / "r"), str(tmp_path / "other")]) == 1
+    (tmp_path / "off").write_text("a\n1.01\n")
+    (tmp_path / "on").write_text("a\n1.02\n")
+    assert cli.main(["verify", str(tmp_path / "off"), str(tmp_path / "on"), "--last-digit", "2"]) == 0
+    assert cli.main(["verify", str(tmp_path / "off"), str(tmp_path / "on")]) == 1
+
+
 def test_load_and_sort(spark, capsys, tmp_path):
     rows = {
         "region": "2|ASIA|c|\n", "nation": "8|INDIA|2|c|\n", "customer": "1|n|a|8|p|1.00|BUILDING|c|\n",
