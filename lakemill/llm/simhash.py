@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Fewer than three words are one shingle. Repeated rows share a
     component. Empty table: no rows. Other columns are not looked at.
     """
-    fps = stage(in_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_with_fingerprint, "doc_id long, fp long"), "fingerprints")
+    fps = stage(in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_with_fingerprint, "doc_id long, fp long"), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct, radius, chunk))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
