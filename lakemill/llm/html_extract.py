@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lakemill.llm import boost
 from lakemill.llm.common import in_batches
 
-MADE = 500
+MADE = 700
 
 #: Fixed values of HTML: elements by how their text counts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -313,7 +313,7 @@ def _made(rnd: random.Random) -> str:
     inner = title + "".join(inside)
     wrap = rnd.choice([
         lambda x: f"<article>{x}</article>", lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>", lambda x: f"<main><article>{x}</article></main>",
-        lambda x: named("div", ["content", "post", "entry-content", "article-body", "story", "main"], x), lambda x: f'<div id="page"><section>{x}</section></div>', lambda x: f"<div><div>{x}</div></div>",
+        lambda x: named("div", ["content", "post", "entry-content", "article-body", "story", "main"], x), lambda x: f'<div id="page"><section>{x}</section></div>', lambda x: f"<div><div>{x}</div></div>", lambda x: x,
     ])
     top = [rnd.choice(noise)() for _ in range(rnd.randint(0, 3))]
     end = [rnd.choice(noise)() for _ in range(rnd.randint(0, 3))]
@@ -346,7 +346,7 @@ def model(pages: int = MADE) -> boost.Boosted:
         xs.append(features(blocks))
         good = {id(b): any("¤" in t for t in _runs(b)) for b in truth}
         ys.append(np.array([good[id(b)] for b in truth[1:]]))
-    return boost.fit(np.concatenate(xs), np.concatenate(ys), rounds=60, depth=4)
+    return boost.fit(np.concatenate(xs), np.concatenate(ys), rounds=120, depth=4)
 
 
 def extract(pages: list[str], trees: boost.Boosted) -> list[str]:
