@@ -19,8 +19,9 @@ share one of six longer keys. If a longer key's bucket is still that large, it
 is cut into chunks and each pair of chunks is one unit of work, so no task holds
 a whole hot bucket. A unit emits at most
 one link a fingerprint, to the least member of its component in the unit, never
-all pairs. Components are then joined across units by alternating large-star
-and small-star rounds over stage tables.
+all pairs. Components are then joined across units: by one task as long as its
+memory is bounded, beyond that by alternating large-star and small-star rounds
+over stage tables.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 CHUNK = 4096
+ONE_TASK = 1_000_000
 BLOCKS = [list(range(16 * b, 16 * b + 16)) for b in range(4)]
 #: Of each table, the bits of its key: two blocks. After these six, for each of
 #: them six more for its hot keys, which add two of the four half blocks outside.
@@ -209,10 +211,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return units.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links, at most ONE_TASK of them, to (node, root)."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
+        root = np.arange(len(nodes))
+        _join(root, at[: len(t)], at[len(t) :])
+        while not (root[root] == root).all():
+            root = root[root]
+        below = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], names=["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 50, one_task: int = ONE_TASK) -> DataFrame:
     """(u, v) links to (node, root), root the least node of the component, for
-    each node with a link. Alternating large-star and small-star."""
+    each node with a lesser one. Up to `one_task` links, some 16 MB, one task
+    joins them; beyond, alternating large-star and small-star rounds do."""
     edges = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    if edges.count() <= one_task:
+        return stage(edges.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
     seen = None
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -51,7 +51,9 @@ def test_links_of_dense_fingerprints(spark, chunk):
     fps = sorted(fps)
     signed = [x - 2**64 if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.root for r in S.components(S.links(df, chunk=chunk)).collect()}
+    links = S.stage(S.links(df, chunk=chunk), "test")
+    got = {r.node: r.root for r in S.components(links).collect()}
+    assert got == {r.node: r.root for r in S.components(links, one_task=0).collect()}
     want = classes(list(range(len(fps))), fps)
     group = {}
     for i, x in enumerate(signed):
