@@ -75,12 +75,12 @@ def advise(df: DataFrame, key: str, *columns: str) -> DataFrame:
     the smallest of them."""
     out = None
     for c in columns:
-        packed = bit_packing(df, key, c).agg(F.sum("packed_bytes").alias("packed_bytes"), F.sum("n_values").alias("n_values"))
-        codes = df.where(F.col(c).isNotNull()).agg(F.countDistinct(c).alias("n_distinct"))
-        one = packed.crossJoin(codes)  # one row each
+        packed = bit_packing(df, key, c).agg(F.sum("packed_bytes").alias("packed_bytes"), F.sum("n_values").alias("n_values")).withColumn("column_name", F.lit(c))
+        codes = df.where(F.col(c).isNotNull()).agg(F.countDistinct(c).alias("n_distinct")).withColumn("column_name", F.lit(c))
+        one = packed.join(codes, "column_name")  # one row each
         plain, coded = F.col("n_values") * 8, F.col("n_distinct") * 8 + F.ceil(F.col("n_values") * bits(F.col("n_distinct") - 1) / 8).cast("long")
         best = F.when((F.col("packed_bytes") <= plain) & (F.col("packed_bytes") <= coded), "pfor").when(coded <= plain, "dictionary").otherwise("plain")
-        row = one.select(F.lit(c).alias("column_name"), "n_values", "n_distinct", plain.alias("plain_bytes"), "packed_bytes", coded.alias("dictionary_bytes"), best.alias("encoding"))
+        row = one.select("column_name", "n_values", "n_distinct", plain.alias("plain_bytes"), "packed_bytes", coded.alias("dictionary_bytes"), best.alias("encoding"))
         out = row if out is None else out.unionAll(row)
     return out
 
