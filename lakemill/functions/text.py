@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.session import reach_workers
+
 
 def like_ordered(column: Column, *parts: str) -> Column:
     """Whether the parts occur in this order without overlap: LIKE '%a%b%'.
@@ -38,6 +40,7 @@ def scan_checksum(df: DataFrame, *columns: str) -> DataFrame:
     """Per text column: records that are not null, total bytes and the sum of
     all byte values. Nothing built in adds up bytes, so a batch of text is one
     array sum, and only one row a batch leaves the scan."""
+    reach_workers(df.sparkSession)
     parts = df.select(*columns).mapInArrow(_sums, "column_name string, records long, sum_length long, sum_bytes long")
     return parts.groupBy("column_name").agg(*[F.sum(c).alias(c) for c in ("records", "sum_length", "sum_bytes")])
 

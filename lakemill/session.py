@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution picks partition counts, splits skewed joins and turns
@@ -20,3 +23,14 @@ SETTINGS = {
 def session(master: str | None = None, app: str = "lakemill", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers import this package from the folder that the driver has
+    it from, whatever their working folder is. Executors that do not see that
+    folder get the package as any other, by --py-files."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -64,3 +64,18 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 6
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    """As a driver would that only puts this folder on its own path."""
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+assert e.queries()["scan_checksum_text"](spark, {SMALL!r}).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
