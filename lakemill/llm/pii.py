@@ -35,8 +35,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _AT, _DOT = r"(?:@|[\[({<]at[\])}>])", r"(?:\.|[\[({<]dot[\])}>])"
 #: A bare "at" only counts with a bare "dot": with a full stop it is a sentence's end.
 MAILISH = rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?:\x20?{_AT}\x20?[A-Za-z0-9-]++(?:\x20?{_DOT}\x20?[A-Za-z0-9-]{{2,}}+)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]{{2,}}+)++)"
-NUMBERISH = r"(?<![0-9A-Za-z.,/:+-])[(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+(?![0-9A-Za-z/:]|[.,-][0-9])"
-IBANISH = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: A colon before a number only counts behind a letter: "Tel:555", not a time.
+NUMBERISH = r"(?<![0-9A-Za-z.,/+-])(?<![^A-Za-z]:)(?<!^:)[(]?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+(?![0-9A-Za-z/:]|[.,-][0-9])"
+IBANISH = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"  # gives back the first capital of a next word
 GENERATORS = (("mailish", MAILISH), ("numberish", NUMBERISH), ("ibanish", IBANISH))
 #: Context words, as patterns over the lower-cased neighbourhood.
 CONTEXT = {
@@ -105,6 +106,10 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         ("tel", lambda: f"{rnd.choice(['phone', 'tel.'])} {d(3)}-{d(3)}-{d(4)}"),
         ("ssn", lambda: f"{rnd.choice(['ssn', 'social security number', 'tax id', 'patient'])} {d(3)}-{d(2)}-{d(4)}"),
         ("iban", lambda: f"{rnd.choice(['iban', 'account', 'konto', 'compte'])} {rnd.choice(['DE', 'FR', 'ES'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}"),
+        ("iban", lambda: f"{rnd.choice(['IBAN', 'Konto', 'account'])} DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)} {part().capitalize()}"),
+        ("iban", lambda: f"{rnd.choice(['IBAN', 'Konto', 'account'])} {rnd.choice(['DE', 'FR', 'ES'])}{d(20)} {part().capitalize()}"),
+        ("ssn", lambda: f"{rnd.choice(['SSN', 'ssn', 'tax id'])}:{d(3)}-{d(2)}-{d(4)}"),
+        ("tel", lambda: f"{rnd.choice(['Tel', 'phone', 'Fax'])}:{d(3)}-{d(3)}-{d(4)}"),
         ("mail", lambda: f"{rnd.choice(['mail', 'contact', 'write to', ''])} {name()} {rnd.choice(['[at]', '(at)'])} {dom()} {rnd.choice(['[dot]', '(dot)', '.'])} {end()}"),
         ("mail", lambda: f"{rnd.choice(['mail', 'reach me:'])} {name()} at {dom()} dot {end()}"),
     )
@@ -117,6 +122,8 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"{d(1)} {d(2)} {d(3)} {d(2)} {d(1)} {d(3)}",
         lambda: f"version {d(1)}.{d(2)}.{d(4)}",
         lambda: f"page {d(3)} {d(4)}",
+        lambda: f"{rnd.choice(['order', 'ref', 'invoice'])}:{d(rnd.randint(7, 12))}",
+        lambda: f"{rnd.choice(['serial', 'model', 'sku'])} {rnd.choice(['AB', 'XK', 'QT'])}{d(2)} {d(4)} {d(4)} {d(4)} {part().capitalize()}",
         lambda: f"{d(3)}-{d(2)}-{d(4)}-{d(5)}",
         lambda: f"{part()} (at) {part()}. {rnd.choice([part(), end()]).capitalize()} {part()}",
         lambda: f"{part()} at {rnd.choice(['it', 'a', part()])} dot {part()}",
