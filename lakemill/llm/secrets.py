@@ -48,7 +48,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     of struct<start, rank, end, kind, match, value_hash, repos, owners, live>, sorted by start
     and kind), n_live and n_copied.
 
-    Null text is empty; a null owner is an owner of its own. Overlapping kinds
+    Null text is empty; a null owner is an owner of its own. Rows
+    with a null id are one document of each owner. Overlapping kinds
     are all reported. Repeated rows are reported alike. Empty table: no rows.
     Other columns are not looked at.
     """
@@ -70,12 +71,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     found = found.withColumn("found", F.filter("found", lambda s: (s["rank"] < 3) | ~F.exists("found", lambda o: (o["rank"] < s["rank"]) & meets(o, s))))
     found = found.withColumn("found", F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match")], F.sha2(own(s), 256).alias("value_hash"))))
     found = stage(found, "candidates")  # the patterns run over the texts once
-    each = found.where(F.size("found") > 0).select("doc_id", "owner", F.explode("found.value_hash").alias("value_hash"))
+    found = found.withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("found.value_hash")).otherwise(F.lit(0).cast("long")))
+    each = found.where(F.size("found") > 0).select("doc_id", "part", "owner", F.explode("found.value_hash").alias("value_hash"))
     by_owner = each.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     known = by_owner.groupBy("value_hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
     # Only documents with candidates are joined: hash to counts, then back to the document.
-    counts = each.select("doc_id", "value_hash").distinct().join(known, "value_hash").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value_hash", F.struct("repos", "owners")))).alias("counts"))
-    out = found.join(counts, "doc_id", "left")
+    # Rows without an id are told apart by their hashes, so that none gathers those of all.
+    counts = each.select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "value_hash").distinct().join(known, "value_hash").groupBy("of", "of_part").agg(F.map_from_entries(F.collect_list(F.struct("value_hash", F.struct("repos", "owners")))).alias("counts"))
+    out = found.join(counts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left")
     rich = F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match", "value_hash")], F.col("counts")[s["value_hash"]]["repos"].alias("repos"), F.col("counts")[s["value_hash"]]["owners"].alias("owners"), (F.col("counts")[s["value_hash"]]["owners"] <= live_owners).alias("live")))
     out = out.select("doc_id", rich.alias("found"))
     base = F.filter("found", lambda s: s["rank"] < 3)
