@@ -49,6 +49,8 @@ ENDS = {
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Start tags that leave an open head open.
+METADATA = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _SCOPE = frozenset("table td th caption template object button".split())
 
 #: Attribute tokens that speak for boilerplate, by sort, and for content.
@@ -134,6 +136,8 @@ def parse(page: str) -> Block:
         name = m[2]
         if name is None:
             text = m[0]
+            if stack and stack[-1][0] == "head" and (text[0] != "<" or text == "<") and text.strip(" \t\n\r\f"):
+                pop(len(stack) - 1)
             if not never and (text[0] != "<" or text == "<"):
                 run.append(text)
                 if links:
@@ -146,6 +150,8 @@ def parse(page: str) -> Block:
             elif (k := opened(frozenset({name}), _SCOPE if name not in _SCOPE else frozenset({"table"} - {name}))) >= 0:
                 pop(k)
             continue
+        if stack and stack[-1][0] == "head" and name not in METADATA:
+            pop(len(stack) - 1)
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else size
