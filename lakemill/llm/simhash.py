@@ -109,7 +109,7 @@ def _within(bits: np.ndarray, group: np.ndarray, lag: int, planes: list[int], ra
         over |= twos & carry
         twos ^= carry
         if k % 4 == 3 or k + 1 == len(planes):
-            far = over | (ones & twos) if radius == 2 else over
+            far = over | (ones & twos if radius == 2 else twos if radius == 1 else ones | twos)
             if not (alive & ~far).any():
                 return np.zeros(0, dtype=np.int64)
     return np.flatnonzero(np.unpackbits(alive & ~far, count=len(valid)))
@@ -188,7 +188,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(u, v) links between the fingerprints in column fp, v the lesser row of
     its unit, enough of them that their components are the true ones."""
-    if radius > 2:
+    if radius not in (0, 1, 2):
         raise ValueError("the four blocks prove candidates for a radius of at most 2")
     masks = [sum(1 << b for b in bits) for bits in TABLES]
     key = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]
