@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,14 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _one_machine() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lakemill-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one where that setting is absent (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='lakemill-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    that setting is absent, one machine's own folder serves a local master; a
+    cluster must name a folder."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _one_machine()
 
 
 #: Bytes of rows that go to a Python worker at once.
@@ -30,12 +37,17 @@ BATCH_BYTES = 16 << 20
 
 def in_batches(df: DataFrame) -> DataFrame:
     """df, with the session set to hand rows to Python in batches of at most
-    BATCH_BYTES: a worker's memory then doesn't depend on how long texts are."""
+    BATCH_BYTES: a worker's memory then doesn't depend on how long texts are.
+    The setting is read when a plan runs, so it stays in the session."""
     reach_workers(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
+#: Stage tables that nobody has discarded, by DataFrame.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, so
     that later steps neither recompute it nor depend on any one executor."""
@@ -43,4 +55,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes stage tables. Only for tables that no plan still to run reads;
+    what was made from them must be a stage table itself."""
+    for df in staged:
+        _, path = _paths.pop(id(df), (None, None))
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+class Scratch:
+    """The stage tables made while it is open, to be deleted together."""
+
+    def __enter__(self) -> Scratch:
+        self.before = set(_paths)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        pass
+
+    def clear(self, *kept: DataFrame) -> None:
+        made = [df for key, (df, _) in list(_paths.items()) if key not in self.before]
+        discard(*[df for df in made if not any(df is k for k in kept)])

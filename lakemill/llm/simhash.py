@@ -22,6 +22,9 @@ one link a fingerprint, to the least member of its component in the unit, never
 all pairs. Components are then joined across units: by one task as long as its
 memory is bounded, beyond that by alternating large-star and small-star rounds
 over stage tables.
+
+`near_groups` is the operator for a similarity of 0.8 over five words, where no
+radius of a fingerprint holds all pairs: see `similar`.
 """
 
 from __future__ import annotations
@@ -37,12 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.common import in_batches, stage
+from lakemill.llm.components import components, join
+from lakemill.llm.similar import groups
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 CHUNK = 4096
-ONE_TASK = 1_000_000
 BLOCKS = [list(range(16 * b, 16 * b + 16)) for b in range(4)]
 #: Of each table, the bits of its key: two blocks. After these six, for each of
 #: them six more for its hot keys, which add two of the four half blocks outside.
@@ -134,24 +138,10 @@ def unit_links(fps: np.ndarray, group: np.ndarray, planes: list[int], radius: in
             for lo in range(0, len(rows) - step, tile):
                 hi = min(len(rows), lo + tile + step)
                 i = lo + _within(kept[:, lo:hi], own[lo:hi], step, planes, radius)
-                _join(root, rows[i], rows[i + step])
+                join(root, rows[i], rows[i + step])
         lag *= 2
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    while len(a):
-        ra, rb = root[a], root[b]
-        while True:  # to the roots
-            up_a, up_b = root[ra], root[rb]
-            if (up_a == ra).all() and (up_b == rb).all():
-                break
-            ra, rb = up_a, up_b
-        root[a], root[b] = ra, rb
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (tab, key, part, fp) to links (fp, least fp)."""
     rest: pa.Table | None = None
@@ -211,49 +201,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return units.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links, at most ONE_TASK of them, to (node, root)."""
-    held = [b for b in batches if b.num_rows]
-    if held:
-        t = pa.Table.from_batches(held)
-        nodes, at = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
-        root = np.arange(len(nodes))
-        _join(root, at[: len(t)], at[len(t) :])
-        while not (root[root] == root).all():
-            root = root[root]
-        below = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], names=["node", "root"])
-
-
-def components(edges: DataFrame, rounds: int = 50, one_task: int = ONE_TASK) -> DataFrame:
-    """(u, v) links to (node, root), root the least node of the component, for
-    each node with a lesser one. Up to `one_task` links, some 16 MB, one task
-    joins them; beyond, alternating large-star and small-star rounds do."""
-    edges = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    if edges.count() <= one_task:
-        return stage(edges.coalesce(1).mapInArrow(_union, "node long, root long"), "roots")
-    seen = None
-    for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large.where("u != v"), "large")  # u > v from here on
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stage(small.where("u != v").distinct(), "small")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fp (signed 64 bits) and component_id of each row.
 
     Null, empty and blank texts have fingerprint zero and are linked like any
-    other. Fewer than three words are one shingle. Repeated rows share a
-    component. Empty table: no rows. Other columns are not looked at.
+    other. Fewer than three words are one shingle. Texts of any length are
+    hashed whole, in memory that their number of words bounds. Repeated rows
+    share a component; of ids that tie for the least there is one. A null id is
+    never the least while another id is in the component. Empty table: no rows.
+    Other columns are not looked at.
     """
     fps = stage(in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_with_fingerprint, "doc_id long, fp long"), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -263,5 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups by a five-word similarity of at least 0.8: see `similar.groups`."""
+    return groups(docs, row_col, id_col, text_col)
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
