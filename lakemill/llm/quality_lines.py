@@ -4,16 +4,20 @@ Lines of a document are a sequence that a linear-chain conditional random
 field marks as content or boilerplate; Viterbi decoding gives the best marks,
 and the share of words in content lines decides retention.
 
-The field is fitted on at most `sample` labelled documents of each quality
-(chosen by hash of the id; at most `sample_chars` characters and
-`sample_lines` lines of each are used for the fit, and only there): lines of a
-good document count as content, lines of a bad one as boilerplate. The least
-content share is the one that best separates held-out labelled documents.
+The field is fitted on lines. Labels tell of whole documents, so lines get weak
+labels: content is a line of a good document, unless it equals an earlier line
+of it; all others are boilerplate. Sequences are the labelled documents as they
+are, and documents mixed from runs of lines of a good and of a bad one, which
+teach the field to switch. At most `sample` labelled documents of each quality
+(chosen by hash of the id) are used, whole. The least content share is the one
+that best separates held-out labelled documents, again whole.
 Marks, counts and verdicts use whole texts of all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -26,9 +30,14 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import in_batches
 from lakemill.llm.textops import SPACE, Piece, mix, pieces, window_hashes, window_ok
 
-SAMPLE = 600
-SAMPLE_CHARS = 20_000
-SAMPLE_LINES = 64
+#: Labelled documents of each quality that the field is fitted on.
+SAMPLE = 400
+#: Longest run of lines of one document in a mixed one.
+RUN = 8
+#: A longer sequence is fitted as several, which bounds the steps of a round.
+SEQUENCE = 64
+#: A good document lost weighs as much as this many bad ones kept.
+LOST = 3
 LEAST_WORDS = 50
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
@@ -105,80 +114,129 @@ class Field:
         return marks
 
 
-def fit(xs: list[np.ndarray], ys: np.ndarray, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by full-batch Adam; a sequence has one label, ys, for
-    all its lines. Deterministic."""
-    d, length = len(xs), max(len(x) for x in xs)
-    x = np.zeros((d, length, len(FEATURES)))
-    live = np.zeros((d, length), dtype=bool)
-    for k, own in enumerate(xs):
-        x[k, : len(own)] = own
-        live[k, : len(own)] = True
-    y = np.where(live, ys[:, None], 0)
+def fit(xs: list[np.ndarray], ys: list[np.ndarray], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood by full-batch Adam over sequences of lines, each line
+    with its label; both labels count alike. Deterministic."""
+    cut = [(x[k : k + SEQUENCE], y[k : k + SEQUENCE]) for x, y in zip(xs, ys) for k in range(0, len(x), SEQUENCE)]
+    cut.sort(key=lambda s: -len(s[0]))  # longest first: at step t the live ones are a prefix
+    d, n = len(cut), np.array([len(x) for x, _ in cut])
+    length = int(n[0])
+    x, y = np.zeros((length, d, len(FEATURES))), np.zeros((length, d), dtype=np.int64)
+    for k, (own, label) in enumerate(cut):
+        x[: len(own), k], y[: len(own), k] = own, label
+    live = [int(np.searchsorted(-n, -t, side="left")) for t in range(length)]
+    is_line = np.arange(length)[:, None] < n
+    content = max(1, y.sum()) / is_line.sum()
+    balance = np.where(y == 1, 0.5 / content, 0.5 / max(1e-9, 1 - content))
+    weight_of = (balance * is_line).sum(axis=0) / n / is_line.sum() * n.mean()
     theta = np.zeros(len(FEATURES) + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    weight_of = np.where(ys == 1, 0.5 / max(1, (ys == 1).sum()), 0.5 / max(1, (ys == 0).sum()))  # both qualities count alike
-    for k in range(rounds):
+    seen = np.zeros((length, d, 2, 2))
+    for t in range(1, length):
+        k = live[t]
+        seen[t, np.arange(k), y[t - 1, :k], y[t, :k]] = 1
+    last = n - 1, np.arange(d)
+    for r in range(rounds):
         w, step, start = theta[: len(FEATURES)], theta[-6:-2].reshape(2, 2), theta[-2:]
-        emit = np.zeros((d, length, 2))
+        emit = np.zeros((length, d, 2))
         emit[:, :, 1] = x @ w
-        fore = np.zeros((d, length, 2))
-        fore[:, 0] = start + emit[:, 0]
+        fore, back = np.zeros((length, d, 2)), np.zeros((length, d, 2))
+        fore[0] = start + emit[0]
         for t in range(1, length):
-            s = fore[:, t - 1, :, None] + step
-            top = s.max(axis=1)
-            fore[:, t] = np.where(live[:, t, None], top + np.log(np.exp(s - top[:, None]).sum(axis=1)) + emit[:, t], fore[:, t - 1])
-        top = fore[:, -1].max(axis=1)
-        total = top + np.log(np.exp(fore[:, -1] - top[:, None]).sum(axis=1))
-        back = np.zeros((d, length, 2))
-        expected, g_step = np.zeros((d, length)), np.zeros((2, 2))
-        for t in range(length - 1, -1, -1):
-            p = np.exp(fore[:, t] + back[:, t] - total[:, None])
-            expected[:, t] = np.where(live[:, t], p[:, 1], 0)
-            if t:
-                s = step[None] + (emit[:, t] + back[:, t])[:, None, :]
-                pair = np.exp(fore[:, t - 1, :, None] + s - total[:, None, None]) * live[:, t, None, None]
-                seen = np.zeros_like(pair)
-                seen[np.arange(d), y[:, t - 1], y[:, t]] = live[:, t]
-                g_step += ((pair - seen) * weight_of[:, None, None]).sum(axis=0)
-                top = s.max(axis=2)
-                back[:, t - 1] = np.where(live[:, t, None], top + np.log(np.exp(s - top[:, :, None]).sum(axis=2)), 0)
-        g_w = np.einsum("dl,dlf->f", (expected - y) * weight_of[:, None], x)
-        g_start = np.array([-1.0, 1.0]) * ((expected[:, 0] - y[:, 0]) * weight_of).sum()
+            k = live[t]
+            fore[t, :k] = np.logaddexp(fore[t - 1, :k, :1] + step[0], fore[t - 1, :k, 1:] + step[1]) + emit[t, :k]
+        total = np.logaddexp(*fore[last].T)
+        for t in range(length - 1, 0, -1):
+            k = live[t]
+            after = emit[t, :k] + back[t, :k]
+            back[t - 1, :k] = np.logaddexp(step[:, 0] + after[:, :1], step[:, 1] + after[:, 1:])
+        off = np.where(is_line, np.exp(np.minimum(0, fore[:, :, 1] + back[:, :, 1] - total)), 0) - y
+        pair = np.exp(np.minimum(0, fore[:-1, :, :, None] + step + (emit[1:] + back[1:])[:, :, None, :] - total[None, :, None, None])) * is_line[1:, :, None, None]
+        g_step = np.einsum("ldab,d->ab", pair - seen[1:], weight_of)
+        g_w = np.einsum("ld,ldf->f", off * weight_of, x)
+        g_start = np.array([-1.0, 1.0]) * (off[0] * weight_of).sum()
         g = np.r_[g_w, g_step.ravel(), g_start] + ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.999 ** (k + 1))) + 1e-8)
+        theta = theta - rate * (m / (1 - 0.9 ** (r + 1))) / (np.sqrt(v / (1 - 0.999 ** (r + 1))) + 1e-8)
     return Field(theta[: len(FEATURES)], theta[-6:-2].reshape(2, 2), theta[-2:])
 
 
+def weak_labels(raw: bytes, good: bool) -> list[tuple[bytes, int]]:
+    """The lines with words of a labelled document, each with its weak label."""
+    seen: set[bytes] = set()
+    out = []
+    for line in raw.split(b"\n"):
+        if line.split():
+            out.append((line, int(good and line not in seen)))
+            seen.add(line)
+    return out
+
+
+def mixed(good: list[tuple[bytes, int]], bad: list[tuple[bytes, int]], rnd: random.Random) -> list[tuple[bytes, int]]:
+    """All lines of both, each side's in its order, in alternating runs."""
+    left = [list(good), list(bad)]
+    side, out = rnd.randrange(2), []
+    while left[0] or left[1]:
+        n = rnd.randint(1, RUN)
+        out += left[side][:n]
+        del left[side][:n]
+        side = 1 - side
+    return out
+
+
+def sequences(rows: list[tuple[int, bytes]], seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features and labels of the lines of (quality, text) rows, and of each
+    good one mixed with a bad one and the other way round."""
+    rnd = random.Random(seed)
+    made = [(q, lines) for q, text in rows if (lines := weak_labels(text, q == 1))]
+    good, bad = [x for q, x in made if q == 1], [x for q, x in made if q == 0]
+    docs = [x for _, x in made]
+    if good and bad:
+        docs += [mixed(good[k % len(good)], bad[k % len(bad)], rnd) for k in range(max(len(good), len(bad)))]
+    return [lines_of(b"\n".join(line for line, _ in x))[1] for x in docs], [np.array([y for _, y in x]) for x in docs]
+
+
 def share(field: Field, x: np.ndarray, n_words: np.ndarray) -> float:
     marks = field.viterbi(x, np.array([0, len(x)]))
     return float(n_words @ marks) / max(1, int(n_words.sum()))
 
 
+_fits: dict[bytes, Field | None] = {}
+
+
+def fitted(rows: list[tuple[int, bytes]]) -> Field | None:
+    """The field for (quality, text) rows, kept for the next call with equal
+    rows; None unless both qualities have lines."""
+    key = hashlib.sha256(repr(rows).encode()).digest()
+    if key not in _fits:
+        _fits.clear()
+        rows = [r for r in rows if r[1].split()]
+        fitting, held = [r for k, r in enumerate(rows) if k % 4], rows[::4]
+        _fits[key] = _fit(fitting, held if len({r[0] for r in held}) == 2 else fitting) if len({r[0] for r in fitting}) == 2 else None
+    return _fits[key]
+
+
+def _fit(fitting: list[tuple[int, bytes]], held: list[tuple[int, bytes]]) -> Field:
+    field = fit(*sequences(fitting))
+    y = np.array([q for q, _ in held])
+    shares = np.array([share(field, *lines_of(text)[1:3]) for _, text in held])
+    cuts = np.unique(np.r_[0.0, shares, 1.0])
+    cuts = (cuts[1:] + cuts[:-1]) / 2
+    gain = [((shares < c) & (y == 0)).sum() / (y == 0).sum() - LOST * ((shares < c) & (y == 1)).sum() / (y == 1).sum() for c in cuts]
+    best = np.flatnonzero(np.isclose(gain, max(gain)))
+    field.least = float(cuts[best[len(best) // 2]])
+    return field
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field | None:
     """None without labelled documents of both qualities that have words."""
     order = [F.xxhash64(id_col, F.lit(23)), F.col(id_col)]
     picked = [labels.where(F.col(label_col) == q).groupBy(id_col).agg(F.lit(q).alias("y")).orderBy(*order).limit(sample) for q in (0, 1)]
     chosen = picked[0].unionAll(picked[1])  # at most 2 * sample rows
-    texts = docs.select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("sample_text")).join(F.broadcast(chosen), id_col)
+    texts = docs.select(id_col, F.col(text_col).alias("sample_text")).join(F.broadcast(chosen), id_col)
     texts = texts.groupBy(id_col, "y").agg(F.min("sample_text").alias("sample_text"))  # repeated ids count once
     rows = sorted((r[id_col], r["y"], r["sample_text"]) for r in texts.where("sample_text is not null").collect())
-    made = [(y, *lines_of(t.encode())[1:3]) for _, y, t in rows]
-    made = [(y, x[:SAMPLE_LINES], n[:SAMPLE_LINES]) for y, x, n in made if len(x)]
-    fitting, held = [r for k, r in enumerate(made) if k % 4], made[::4]
-    if len({r[0] for r in fitting}) < 2:
-        return None
-    field = fit([r[1] for r in fitting], np.array([r[0] for r in fitting]))
-    own = held if len({r[0] for r in held}) == 2 else fitting
-    y = np.array([r[0] for r in own])
-    shares = np.array([share(field, r[1], r[2]) for r in own])
-    cuts = np.unique(np.r_[0.0, shares, 1.0])
-    cuts = (cuts[1:] + cuts[:-1]) / 2
-    gain = [((shares >= c) & (y == 1)).sum() / (y == 1).sum() + 2 * ((shares < c) & (y == 0)).sum() / (y == 0).sum() - 3 * ((shares < c) & (y == 1)).sum() / (y == 1).sum() for c in cuts]
-    best = np.flatnonzero(np.isclose(gain, max(gain)))
-    field.least = float(cuts[best[len(best) // 2]])
-    return field
+    return fitted([(y, t.encode()) for _, y, t in rows])
 
 
 def counts(piece: Piece) -> tuple[np.ndarray, ...]:
@@ -228,10 +286,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs with the columns of NEW: the counts, base_failed, content_share,
     line_marks (0 or 1 for each line with a word) and kept.
 
-    Null and empty texts have no words and fail. Repeated rows are judged
-    alike. Without usable labels every line is content, so only the base rule
-    decides. Empty table: no rows. Columns of docs with these names are
-    replaced.
+    Null and empty texts have no words and fail. Texts of any length are judged
+    whole; time grows with their lines and words. Of marks that tie, the decoder
+    takes boilerplate. Repeated rows are judged alike, also under a null id,
+    which no label meets. An id with two qualities is in both samples. Without
+    usable labels every line is content, so only the base rule decides. Empty
+    table: no rows. Columns of docs with these names are replaced.
     """
     field = train(docs, labels, id_col, text_col, label_col, sample)
     out = docs.drop(*NEW).withColumns({c: F.lit(None).cast(kind) for c, kind in NEW.items()})

@@ -78,3 +78,57 @@ def test_no_labels_and_empty(spark):
     rows = Q.judge(spark.createDataFrame(docs, SCHEMA), none).collect()
     assert all(r.kept != r.base_failed for r in rows)
     assert Q.judge(spark.createDataFrame([], SCHEMA + ", kept string, n_words int"), none).collect() == []
+
+
+def labelled(folder):
+    import duckdb
+
+    return [(q, t.encode()) for q, t in duckdb.sql(f"SELECT quality, text FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+
+
+def test_lines_of_mixed_documents():
+    """Held-out documents of mixed content and junk lines: the marks tell them
+    apart, line by line."""
+    import random
+
+    from tests.conftest import MID, SMALL
+
+    field = Q.fitted(labelled(MID))
+    held = [(q, Q.weak_labels(t, q == 1)) for q, t in labelled(SMALL)]
+    good, bad = [x for q, x in held if q], [x for q, x in held if not q]
+    rnd, right, total, switches = random.Random(8), 0, 0, 0
+    for k in range(60):
+        doc = Q.mixed(good[k % len(good)], bad[k % len(bad)], rnd)
+        x = Q.lines_of(b"\n".join(line for line, _ in doc))[1]
+        marks = field.viterbi(x, np.array([0, len(x)]))
+        y = np.array([v for _, v in doc])
+        right, total, switches = right + (marks == y).sum(), total + len(y), switches + (np.diff(marks) != 0).sum()
+    assert total > 500 and switches > 60
+    assert right / total >= 0.9
+
+
+def test_marks_on_a_table(spark):
+    """Some documents of the table hold both kinds of lines, repeated lines among them."""
+    from tests.conftest import MID
+
+    rows = Q.judge(spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/labels.parquet")).select("line_marks").collect()
+    assert sum(len(set(r.line_marks)) == 2 for r in rows) > 10
+
+
+def test_fit_uses_whole_texts():
+    """What stands at the end of a long text changes the fit."""
+    good = [(1, ("\n".join(f"The day number {j} was as good as any other of that year, or so they said." for j in range(600))).encode())] * 8
+    junk = b"\n".join([b"plain words of no kind at all"] * 500 + [b"### %%% &&& $$$"] * 40)
+    less = b"\n".join([b"plain words of no kind at all"] * 500)
+    a, b = (Q.fitted([r for g in good for r in (g, (0, x))]) for x in (junk, less))
+    assert not np.allclose(a.weight, b.weight)
+
+
+def test_a_very_long_text(spark):
+    """A text of some MB is judged whole."""
+    from tests.llm.corpus import prose as made
+
+    text = "\n".join(f"{k} " + made(__import__("random").Random(k % 50), 30) for k in range(12_000))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    r = Q.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), none).first()
+    assert r.n_words == len(text.split()) and len(r.line_marks) == 12_000
