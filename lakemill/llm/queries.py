@@ -32,7 +32,9 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.license_scan import scan
 
-    return scan(table(spark, sf_dir, "documents")).drop("notices")
+    # label:first_word:last_word:errors of each notice, in order
+    found = F.transform("notices", lambda n: F.concat_ws(":", n["label"], *[n[c].cast("string") for c in ("first_word", "last_word", "errors")]))
+    return scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join(found, ","))
 
 
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

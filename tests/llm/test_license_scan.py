@@ -51,14 +51,15 @@ def distance(a, b):
 def test_notices_against_edit_distance():
     rnd = random.Random(12)
     for k in range(300):
-        text, label = L.NOTICES[k % len(L.NOTICES)]
-        n = L.Notice(text, label)
+        text, label, _ = L.NOTICES[k % len(L.NOTICES)]
+        only = (text, label, "")
+        n = L.Notice(*only)
         t = list(text)
         for _ in range(rnd.randint(0, n.errors + 3)):
             at = rnd.randrange(len(t))
             t[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "q", " "])
         hay = " ".join(words("zz " * rnd.randint(0, 3) + "".join(t) + " yy"))
-        found = list(n.find(f" {hay} ".encode()))
+        found = [(lo, hi, e) for lo, hi, e, _ in L.occurrences(f" {hay} ".encode(), (only,))]
         near = distance(text, f" {hay} ")
         assert bool(found) == (near <= n.errors), (hay, near)
         if found:
@@ -73,3 +74,48 @@ def test_spans_and_score():
 
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA + ", score string, labels int")).collect() == []
+
+
+def test_words_that_tell_licenses_apart():
+    for text, base, labels in (
+        ("is licensed under CC BY-NC 4.0 by its makers", "cc-by", "cc-by,cc-by-nc"),
+        ("is licensed under CC BY-SA 4.0 by its makers", "cc-by", "cc-by,cc-by-sa"),
+        ("released under the MPL license", "", "mpl"),
+        ("released under the MIT license", "mit", "mit"),
+        ("relased under the MIT licence", "", "mit"),
+        ("relased under the BSD licence", "", ""),
+        ("licensed under the GNU Lesser General Public License version 3", "", "lgpl"),
+        ("licenced under the GNU General Public Licence version 3", "", "gpl"),
+        ("licensed under the GNU special public license version 3", "", ""),
+    ):
+        got = L.scan_text(text.encode())
+        assert (got["base_labels"], got["labels"]) == (base, labels), text
+
+
+def test_labels_against_brute_force():
+    """Every notice at every place by edit distance, the best of those that overlap."""
+    from tests.conftest import SMALL
+
+    import duckdb
+
+    for (raw,) in duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        hay = " " + " ".join(words(raw)) + " "
+        got = L.scan_text(raw.encode())["labels"].split(",")
+        want = set(brute(raw)[4].split(","))
+        for n in L.NOTICES:
+            # A seed of few signs must be there for any place; the rest is the plain distance.
+            if any(n[0][len(n[0]) * k // 4 : len(n[0]) * k // 4 + 6] in hay for k in range(4)) and distance(n[0], hay) <= L.Notice(*n).errors and all(f" {x} " in hay for x in n[2].split()):
+                want.add(n[1])
+        assert set(got) - {""} == want - {""}, (got, want)
+
+
+def test_many_places_in_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        got = L.scan_text(b"cc by xx " * n + b"licensed under cc by nc 4 0 " * (n // 10))
+        took.append(time.perf_counter() - began)
+        assert got["n_base"] == n + n // 10 and len(got["notices"]) == n // 10
+    assert took[1] < 4 * took[0] + 0.5
