@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) come from fixed patterns and checks.
 High-recall generators propose further, overlapping spans: obfuscated mail
 addresses, digit groups of any shape, account numbers. Boosted trees score each
 proposal from its format and from the words around it, thresholds are
-calibrated for precision on held-out examples, and proposals that pass, and
-overlap no base span nor a longer proposal that passes, are added.
+calibrated for precision on held-out examples, and proposals that pass are
+added, unless they lie within a base span or another proposal that passes.
 
 There are no labelled spans in the corpus, so the trees are fitted on made
 examples (`examples`, a fixed number of them); the same DataFrame expressions
@@ -17,7 +17,7 @@ from __future__ import annotations
 import random
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakemill.llm import boost
@@ -48,6 +48,8 @@ CONTEXT = {
     "other": r"order|invoice|isbn|issn|version|ref\b|ref\.|ticket|serial|part no|page|total|euro|usd|price|model|sku|build|commit|section|article|doi",
 }
 AROUND = 32
+#: Rank of the first generator; base kinds have lower ones.
+OWN = 10
 PRECISION = 0.995
 EXAMPLES = 4000
 
@@ -65,20 +67,20 @@ def base(text: Column) -> Column:
 
 def proposals(text: Column) -> Column:
     may = {"mailish": text.rlike(r"(?i)@|[\[({<]at[\])}>]|\x20dot\x20"), "numberish": text.rlike("[0-9]"), "ibanish": text.rlike(r"[A-Z]{2}[0-9]{2}")}
-    none = lambda: F.slice(tagged(spans(F.lit(""), "x"), 0, ""), 1, 0)
-    return F.concat(*[F.when(may[k], tagged(spans(text, pattern), 10 + r, k)).otherwise(none()) for r, (k, pattern) in enumerate(GENERATORS)])
+    near = ("before", "after")
+    none = lambda: F.slice(tagged(spans(F.lit(""), "x", around=AROUND), 0, "", *near), 1, 0)
+    return F.concat(*[F.when(may[k], tagged(spans(text, pattern, around=AROUND), OWN + r, k, *near)).otherwise(none()) for r, (k, pattern) in enumerate(GENERATORS)])
 
 
 FEATURES = ("rank", "length", "n_digits", "n_groups", "longest", "n_letters", "n_separators", "parens", "hyphens", "luhn", "at_sign", "dots", "known_domain", "same_digit", "spelled_at", "spelled_dot", "bracketed", "dot_space", "upper_end", *(f"before_{k}" for k in CONTEXT), *(f"after_{k}" for k in CONTEXT))
 
 
-def features(text: Column, s: Column) -> list[Column]:
-    """Numbers for one proposal s of a text, in the order of FEATURES."""
+def features(s: Column) -> list[Column]:
+    """Numbers for one proposal, in the order of FEATURES."""
     m = s["match"]
     count = lambda chars: F.char_length(m) - F.char_length(F.regexp_replace(m, chars, ""))
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: F.char_length(g) > 0)
-    before = F.lower(F.substring(text, F.greatest(s["start"] - AROUND, F.lit(0)) + 1, F.least(s["start"], F.lit(AROUND))))
-    after = F.lower(F.substring(text, s["end"] + 1, F.lit(AROUND)))
+    before, after = F.lower(s["before"]), F.lower(s["after"])
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     own = [
         s["rank"], F.char_length(m), F.char_length(digits(m)), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0)), count("[A-Za-z]"),
@@ -153,7 +155,7 @@ def model(spark: SparkSession) -> tuple[boost.Boosted, float]:
     """The fitted trees and the calibrated threshold; the driver gets the
     features of at most EXAMPLES made sentences."""
     made = spark.createDataFrame(examples(), "text string, y int").withColumn("s", F.explode(proposals(F.col("text"))))
-    rows = made.select(F.array(*features(F.col("text"), F.col("s"))).alias("x"), "y").collect()
+    rows = made.select(F.array(*features(F.col("s"))).alias("x"), "y").collect()
     return _fitted(tuple((tuple(r.x), r.y) for r in rows))
 
 
@@ -161,29 +163,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """For each row doc_id, base and spans: arrays of struct<start, rank, end,
     kind, match, score>, sorted by start and kind; base spans have score 1.
 
-    Null text is empty. Overlapping base kinds are all reported. Repeated rows
-    are reported alike. Empty table: no rows. Other columns are not looked at.
+    Null text is empty. Overlapping base kinds are all reported, so are added
+    spans that overlap without one holding the other; of equal spans the base
+    one stays, then the earlier generator's. Texts of any length are scanned
+    whole; time grows with their length and spans. Repeated rows are reported
+    alike, each by itself, also under a null id. Empty table: no rows. Other
+    columns are not looked at.
     """
     trees, least = model(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"base": F.sort_array(base(F.col("text"))), "more": proposals(F.col("text"))})
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    rows = rows.withColumn("more", F.filter("more", lambda s: F.forall("base", lambda b: apart(s, b))))
-    named = lambda s, score: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match")], score.alias("score"))
+    own_fields = ("start", "rank", "end", "kind", "match")
+    named = lambda s, score: F.struct(*[s[c].alias(c) for c in own_fields], score.alias("score"))
 
     def score(s: Column) -> Column:
         return trees.expression(lambda i: s["x"][i], F.when, F.lit)
 
-    x = F.transform("more", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match")], F.array(*features(F.col("text"), s)).alias("x")))
+    x = F.transform("more", lambda s: F.struct(*[s[c].alias(c) for c in own_fields], F.array(*features(s)).alias("x")))
     rows = rows.withColumn("more", F.when(F.size("more") > 0, x).otherwise(F.slice(x, 1, 0)))
-    rows = stage(rows.select("doc_id", "base", "more"), "candidates")  # the texts are read once and stay behind
+    # The texts are read once and stay behind; from here on a document is its row.
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "more"), "candidates")
     scored = F.transform("more", lambda s: named(s, 1 / (1 + F.exp(-score(s)))))
-    rows = rows.withColumn("more", F.when(F.size("more") > 0, F.filter(scored, lambda s: s["score"] >= least)).otherwise(F.slice(scored, 1, 0)))
-    order = lambda s: F.struct(s["start"] - s["end"], -s["score"], s["start"], s["rank"])
-    better = lambda o, s: order(o) < order(s)  # the longer one, then the one with the higher score
-    rows = rows.withColumn("more", F.filter("more", lambda s: ~F.exists("more", lambda o: better(o, s) & ~apart(o, s))))
     own = F.transform("base", lambda s: named(s, F.lit(1.0)))
-    return rows.select("doc_id", own.alias("base"), F.sort_array(F.concat(own, "more")).alias("spans"))
+    passing = F.when(F.size("more") > 0, F.filter(scored, lambda s: s["score"] >= least)).otherwise(F.slice(scored, 1, 0))
+    some = rows.where(F.size("more") > 0).select("row", own.alias("own"), passing.alias("passing")).where(F.size("passing") > 0)
+    each = some.select("row", F.explode(F.concat("own", "passing")).alias("s")).select("row", "s.*")
+    before = Window.partitionBy("row").orderBy("start", F.desc("end"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("reach", F.max("end").over(before)).where((F.col("rank") < OWN) | F.col("reach").isNull() | (F.col("reach") < F.col("end")))
+    more = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*own_fields, "score"))).alias("spans"))
+    return rows.join(more, "row", "left").select("doc_id", own.alias("base"), F.coalesce("spans", own).alias("spans"))
 
 
 def redact(text: str, found: list) -> str:

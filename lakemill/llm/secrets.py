@@ -4,14 +4,16 @@ Base spans (assign, access, hex) come from fixed patterns. The method adds
 high-recall candidates, which no pattern pins down: known token prefixes and
 long random-looking tokens. Every candidate, base spans included, is hashed;
 the corpus is aggregated to the number of distinct repositories (documents) and
-distinct owners (sources) of each hash. A value held by many owners is a
-copied example; one held by at most `live_owners` owners looks live. Added
-candidates become spans only if they look live; base spans always stay, and
-each document tells how many of its spans look live or widely copied.
+distinct owners (sources) of each hash. A value looks live if at most
+`live_owners` owners hold it, in at most `live_repos` repositories: what many
+owners hold, or one owner holds all over, is a copied example. Added candidates
+become spans only if they look live; base spans always stay, and each document
+tells how many of its spans look live or widely copied.
 
 Counting is in two steps, first by (hash, owner) and then by hash, both with
 partial sums, so a value in a third of all documents costs a row per task.
-Owners enter as ids, not as sets.
+Owners enter as ids, not as sets. Spans are rows of their own from the patterns
+on, so that no step compares all spans of a document with each other.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.common import stage
-from lakemill.llm.spans import joined, spans, tagged
+from lakemill.llm.spans import joined, meets_lower, spans, tagged
 
 #: The base patterns. A run that a possessive quantifier takes
 #: whole is the run that the plain pattern takes.
@@ -34,6 +36,7 @@ RANDOM = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=.-
 #: Of every kind but assign, a match holds a run like this.
 LONG = r"[A-Za-z0-9+/_=.-]{20}"
 LIVE_OWNERS = 2
+LIVE_REPOS = 20
 
 
 def _random_looking(p: Column) -> Column:
@@ -43,15 +46,17 @@ def _random_looking(p: Column) -> Column:
     return p.rlike("[a-z]") & p.rlike("[A-Z]") & (n_digits >= 3) & (distinct >= 14)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """For each row doc_id, n_assign, n_access, n_hex, base and spans (arrays
     of struct<start, rank, end, kind, match, value_hash, repos, owners, live>, sorted by start
     and kind), n_live and n_copied.
 
-    Null text is empty; a null owner is an owner of its own. Rows
-    with a null id are one document of each owner. Overlapping kinds
-    are all reported. Repeated rows are reported alike. Empty table: no rows.
-    Other columns are not looked at.
+    Null text is empty; a null owner is an owner of its own. Rows with a null
+    id are one document of each owner. Overlapping base kinds are all reported;
+    an added candidate that overlaps a base one, or a random one that overlaps
+    a prefixed one, is left to that. Texts of any length are scanned whole;
+    time grows with their length and spans. Repeated rows are reported alike.
+    Empty table: no rows. Other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     value = lambda p: F.regexp_extract(p, ASSIGN_VALUE, 1)
@@ -65,22 +70,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     kinds = F.when(text.rlike(LONG), F.concat(assigned, long)).otherwise(assigned)
     # The key hashes what is secret: the assigned value, or the whole match.
     own = lambda s: F.when(s["rank"] == 0, value(s["match"])).otherwise(s["match"])
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(owner_col), F.lit(0)).alias("owner"), F.sort_array(kinds).alias("found"))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    # A candidate inside a span of a kind that tells more is that span.
-    found = found.withColumn("found", F.filter("found", lambda s: (s["rank"] < 3) | ~F.exists("found", lambda o: (o["rank"] < s["rank"]) & meets(o, s))))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(owner_col), F.lit(0)).alias("owner"), kinds.alias("found"))
     found = found.withColumn("found", F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match")], F.sha2(own(s), 256).alias("value_hash"))))
     found = stage(found, "candidates")  # the patterns run over the texts once
-    found = found.withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("found.value_hash")).otherwise(F.lit(0).cast("long")))
-    each = found.where(F.size("found") > 0).select("doc_id", "part", "owner", F.explode("found.value_hash").alias("value_hash"))
+    each = found.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("s")).select("row", "doc_id", "owner", "s.*")
+    # A candidate that meets a span of a kind that tells more is that span.
+    rank = F.col("rank")
+    each = each.withColumns({"in_base": meets_lower(rank < 3), "in_prefixed": meets_lower(rank == 3)})
+    each = stage(each.where((rank < 3) | ~F.col("in_base") & ((rank == 3) | ~F.col("in_prefixed"))).drop("in_base", "in_prefixed"), "spans")
     by_owner = each.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     known = by_owner.groupBy("value_hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
-    # Only documents with candidates are joined: hash to counts, then back to the document.
-    # Rows without an id are told apart by their hashes, so that none gathers those of all.
-    counts = each.select(F.col("doc_id").alias("of"), F.col("part").alias("of_part"), "value_hash").distinct().join(known, "value_hash").groupBy("of", "of_part").agg(F.map_from_entries(F.collect_list(F.struct("value_hash", F.struct("repos", "owners")))).alias("counts"))
-    out = found.join(counts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left")
-    rich = F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "match", "value_hash")], F.col("counts")[s["value_hash"]]["repos"].alias("repos"), F.col("counts")[s["value_hash"]]["owners"].alias("owners"), (F.col("counts")[s["value_hash"]]["owners"] <= live_owners).alias("live")))
-    out = out.select("doc_id", rich.alias("found"))
+    known = known.withColumn("live", (F.col("owners") <= live_owners) & (F.col("repos") <= live_repos))
+    rich = each.join(known, "value_hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "match", "value_hash", "repos", "owners", "live"))).alias("found"))
+    out = found.select("row", "doc_id").join(rich, "row", "left")
+    out = out.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,match:string,value_hash:string,repos:bigint,owners:bigint,live:boolean>>)")))
     base = F.filter("found", lambda s: s["rank"] < 3)
     all_spans = F.filter("found", lambda s: (s["rank"] < 3) | s["live"])
     n = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")

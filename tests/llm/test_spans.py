@@ -104,3 +104,117 @@ def test_queries_on_tables(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string, base int, spans int")
     assert pii.scan(empty).collect() == [] and secrets.scan(empty).collect() == []
+
+
+def other_examples(n, seed):
+    """A second generator, written apart from the one that fits the trees: (text,
+    the personal span or None)."""
+    rnd = random.Random(seed)
+    num = lambda k: "".join(str(rnd.randrange(10)) for _ in range(k))
+    first = lambda: rnd.choice(["maria", "peter.b", "k_novak", "julien", "office", "x.y"])
+    host = lambda: rnd.choice(["acme", "webpost", "my-site", "lab"])
+    top = lambda: rnd.choice(["com", "org", "de", "net", "io"])
+    fill = lambda: " ".join(rnd.choice("we saw him near some old river before dinner and then went home again".split()) for _ in range(rnd.randint(2, 9)))
+    personal = (
+        lambda: ("my cell is ", f"{num(3)}-{num(3)}-{num(4)}"),
+        lambda: ("Telefon ", f"0{num(3)} {num(3)} {num(4)}"),
+        lambda: ("please call ", f"({num(3)}) {num(3)}-{num(4)}"),
+        lambda: ("his social security number ", f"{num(3)}-{num(2)}-{num(4)}"),
+        lambda: ("transfer to IBAN ", f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}"),
+        lambda: ("our bank account ", f"FR{num(2)}{num(20)}"),
+        lambda: ("you can reach me: ", f"{first()} [at] {host()} [dot] {top()}"),
+        lambda: ("mail ", f"{first()} at {host()} dot {top()}"),
+        lambda: ("contact ", f"{first()} (at) {host()}.{top()}"),
+    )
+    clean = (
+        lambda: f"invoice {num(9)}", lambda: f"order {num(10)}", lambda: f"the count was {num(2)} {num(3)} {num(3)} euro", lambda: f"isbn 978-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
+        lambda: f"born in {rnd.randint(1800, 2020)}", lambda: f"model XK{num(2)} {num(4)} {num(4)} {num(4)}", lambda: f"version {num(1)}.{num(2)}.{num(3)}", lambda: f"from {num(2)}:{num(2)} to {num(2)}:{num(2)}",
+        lambda: "he looked at it dot by dot", lambda: f"pages {num(3)}-{num(3)}", lambda: f"ticket {num(8)}",
+    )
+    out = []
+    for k in range(n):
+        before = fill()
+        if k % 2:
+            lead, span = rnd.choice(personal)()
+            out.append((f"{before} {lead}{span} {fill()}", (len(before) + 1 + len(lead), len(before) + 1 + len(lead) + len(span))))
+        else:
+            out.append((f"{before} {rnd.choice(clean)()} {fill()}", None))
+    return out
+
+
+def test_pii_second_generator(spark):
+    """Precision and recall of the added spans on forms of another make."""
+    made = other_examples(800, seed=41)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.rank >= pii.OWN] for r in pii.scan(df).collect()}
+    hit = sum(want in got[k] for k, (_, want) in enumerate(made) if want)
+    added = sum(map(len, got.values()))
+    recall, precision = hit / sum(bool(w) for _, w in made), hit / added
+    print(f"recall {recall:.3f} precision {precision:.3f}")
+    assert recall > 0.8 and precision > 0.95
+
+
+def test_pii_added_spans_against_brute_force(spark):
+    """The verdict on a table: of all proposals, those that pass and lie within
+    no base span and no other passing one."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lakemill.llm import boost
+    from tests.conftest import SMALL
+
+    table = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    made = [t for t, _ in other_examples(200, seed=5)]
+    texts = table + made + [f"{t} {made[k]} {made[k + 1]}" for k, t in enumerate(table[:100])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees, least = pii.model(spark)
+    asked = df.select("doc_id", F.explode(pii.proposals(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.rank", F.array(*pii.features(F.col("s"))).alias("x")).collect()
+    score = boost.sigmoid(trees.logit(np.array([r.x for r in asked], dtype=float)))
+    passing = {}
+    for r, p in zip(asked, score):
+        if p >= least:
+            passing.setdefault(r.doc_id, []).append((r.start, r.end, r.rank))
+    n = 0
+    for r in pii.scan(df).collect():
+        base = [(s.start, s.end, s.rank) for s in r.base]
+        own = passing.get(r.doc_id, [])
+        want = [s for s in own if not any(o != s and o[0] <= s[0] and s[1] <= o[1] and ((o[0], o[1]) != (s[0], s[1]) or o[2] < s[2]) for o in base + own)]
+        assert sorted(want) == sorted((s.start, s.end, s.rank) for s in r.spans if s.rank >= pii.OWN)
+        n += len(want)
+    assert n > 100
+
+
+def test_secrets_verdict_against_brute_force(spark):
+    """Repositories and owners of every value, counted plainly, decide."""
+    rnd = random.Random(6)
+    sign = lambda k: "".join(rnd.choice("abcXYZ0123456789defGHJ") for _ in range(k))
+    pool = [f"ghp_{sign(36)}" for _ in range(6)] + [f"{sign(20)}aB3x{k}yZ7" for k in range(6)] + [f"password={sign(9)}" for _ in range(4)]
+    rows = []
+    for k in range(400):
+        held = [pool[0]] * (k % 3 == 0) + [pool[1]] * (k < 60) + [rnd.choice(pool[2:]) for _ in range(rnd.randint(0, 2))] * (k % 20 == 0)
+        rows.append((k, " and ".join(["see", *held, "there"]), "a" if k < 60 else rnd.choice("abcde")))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    where = {}
+    for k, text, owner in rows:
+        for v in pool:
+            if v in text:
+                where.setdefault(v.removeprefix("password="), set()).add((k, owner))
+    live = {v: len({o for _, o in w}) <= 2 and len(w) <= 20 for v, w in where.items()}
+    assert not live[pool[1]] and len({o for _, o in where[pool[1]]}) == 1  # one owner, but all over
+    assert 3 < sum(live.values()) < len(live)
+    for r in got:
+        text = rows[r.doc_id][1]
+        for s in r.spans:
+            v = s.match.removeprefix("password=")
+            assert s.live == live[v] and (s.repos, s.owners) == (len(where[v]), len({o for _, o in where[v]}))
+        assert sorted(s.match for s in r.spans) == sorted(m for m in re.split(" and | ", text)[1:-1] if m.startswith("password=") or live.get(m))
+        n_copied = sum(not live[m.removeprefix("password=")] for m in re.split(" and | ", text)[1:-1])
+        assert (r.n_copied, r.n_live) == (n_copied, len(r.spans) - sum(not s.live for s in r.spans))
+
+
+def test_many_spans_in_one_text(spark):
+    """Chunks of matches: positions against re over tens of thousands of spans."""
+    for f, kinds, unit in ((pii.scan, KINDS2, "é a@b.com 10.0.0.1 "), (secrets.scan, KINDS9, "é deadbeef0123456789abcdef01 token=abcdef9 ")):
+        text = unit * 12_000
+        r = f(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r.base] == brute(text, kinds)
