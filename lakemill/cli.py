@@ -13,17 +13,21 @@ import json
 import statistics
 import sys
 import time
+from collections.abc import Iterator
 from datetime import date
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.functions import text
 from lakemill.operators import layout
+from lakemill.operators.zonemap import Between
 from lakemill.plans import ssb, tpch
 from lakemill.session import session
 from lakemill.sources import files, fixture
 from lakemill.verify import compare_files
 
+ZONES = 64
 TPCH = {"q1": tpch.q1, "q3": tpch.q3, "q5": tpch.q5, "q6": tpch.q6, "q13": tpch.q13, "q16": tpch.q16}
 
 
@@ -42,7 +46,9 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--selectivity", type=int, default=20, help="of q3sel, in percent")
     q.add_argument("--no-other-filters", action="store_true")
     q.add_argument("--sideways", action="store_true", help="denormalise facts and prune them by dimension attributes")
+    q.add_argument("-Z", "--zones", action="store_true", help="read a sorted copy of lineitem through its zone map (q6, revenue, q1); made once for the files")
     q.add_argument("--limit", type=int, default=None)
+    q.add_argument("--show", type=int, default=10_000, help="rows to print at most")
     q.add_argument("--trials", type=int, default=1)
     q.add_argument("--output", choices=("text", "json"), default="text")
     q.add_argument("--save", help="also write the result as delimited text")
@@ -71,7 +77,7 @@ def parser() -> argparse.ArgumentParser:
 
 def tables(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     if a.format == "fixture":
-        return (fixture.ssb if a.ssb else fixture.tpch)(spark, a.path)
+        return fixture.ssb(spark, a.path) if a.ssb else fixture.tpch(spark, a.path, idle_customers=True)
     read = files.read_tables(spark, a.path, a.ssb, a.format)
     return read if a.ssb else files.plan_tables(read)
 
@@ -85,6 +91,11 @@ def plan(a: argparse.Namespace, t: dict[str, DataFrame]) -> DataFrame:
             return ssb.revenue(t, int(a.since or 19930101), int(a.until or 19931231), a.quantity or 0, others)
         return ssb.plans()[f"ssb_{a.name}"](t)
     days = {k: date.fromisoformat(v) for k, v in (("since", a.since), ("until", a.until)) if v}
+    if a.zones and a.name in ("q1", "q6", "revenue"):
+        since, until = (None, date(1998, 9, 3)) if a.name == "q1" else (days.get("since", date(1994, 1, 1)), days.get("until", date(1995, 1, 1)))
+        line = t["lineitem"]
+        zoned = layout.zones(line.sparkSession, "lineitem", a.path, lambda: line, ZONES, ("l_shipdate",), "l_shipdate")
+        t = t | {"lineitem": zoned.scan(Between("l_shipdate", since, until, True))}
     if a.name == "q3sel":
         return tpch.q3sel(t, a.selectivity, others)
     if a.name == "revenue":
@@ -94,18 +105,44 @@ def plan(a: argparse.Namespace, t: dict[str, DataFrame]) -> DataFrame:
     return tpch.q3(t, limit=a.limit) if a.name == "q3" else TPCH[a.name](t)
 
 
+def _scans(node: Any) -> Iterator[Any]:
+    """The file scans of an executed plan, a node of the JVM."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _scans(node.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _scans(node.plan())
+    elif name == "FileSourceScanExec":
+        yield node
+    elif name != "ReusedExchangeExec":
+        children = node.children()
+        for k in range(children.size()):
+            yield from _scans(children.apply(k))
+
+
+def scan_metrics(df: DataFrame) -> dict[str, int]:
+    """What the scans of a plan that has run read: files, bytes, rows."""
+    found = [{m: int(scan.metrics().apply(m).value()) for m in ("numFiles", "filesSize", "numOutputRows")} for scan in _scans(df._jdf.queryExecution().executedPlan())]
+    total = lambda m: sum(f[m] for f in found)
+    return {"files": total("numFiles"), "read_mb": total("filesSize") / 2**20, "rows": total("numOutputRows")}
+
+
 def run_query(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Runs a plan and shows at most --show rows, all that comes to the driver;
+    a saved result is written whole, by its tasks."""
     seconds = []
     for _ in range(a.trials):
         began = time.perf_counter()
-        df = plan(a, tables(spark, a))
+        df = plan(a, tables(spark, a)).limit(a.show)
         rows = df.collect()
         seconds.append(time.perf_counter() - began)
     if a.save:
-        files.write_result(df, a.save)
+        files.write_result(plan(a, tables(spark, a)), a.save)
     if a.output == "json":
         times = {"avg": statistics.fmean(seconds), "min": min(seconds), "max": max(seconds), "std": statistics.pstdev(seconds)}
-        print(json.dumps({"query": a.name, "rows": len(rows), "seconds": times, "result": [r.asDict() for r in rows]}, default=str))
+        read = scan_metrics(df)
+        read["mb_per_second"] = read["read_mb"] / times["avg"]
+        print(json.dumps({"query": a.name, "rows": len(rows), "seconds": times, "scan": read, "result": [r.asDict() for r in rows]}, default=str))
         return
     print("|".join(df.columns))
     for r in rows:

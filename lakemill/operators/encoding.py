@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemill.functions.fixed import bits
+from lakemill.operators.ordering import before
 
 BLOCK, MINIBLOCKS = 128, 4
+#: Values that a codec's ratio is measured on.
+SAMPLE = 20_000
 #: Measured decompression speeds in units of 100 MB/s.
 SPEEDS = {"snappy": 434, "lz4": 328, "deflate": 194}
 
@@ -50,14 +53,10 @@ def run_lengths(df: DataFrame, key: str, column: str, rows: int = 4096) -> DataF
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """Codes from 0 in binary order of the values, so that ranges of codes are
-    ranges of values. Values are ranked within their first two signs, and the
-    prefixes' counts give each rank its offset, so no task sorts all values."""
+    ranges of values. Values are counted within ranges of themselves, so no
+    task sorts all of them, whatever they begin with."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = counts.withColumn("_prefix", F.substring("value", 1, 2))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n")).select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy("_prefix").orderBy("value")) - 1)
-    return ranked.join(offsets, "_prefix").select("value", "n_rows", (F.col("_offset") + F.col("_rank")).cast("int").alias("code"))
+    return before(counts, ("value",), F.lit(1), "_code").select("value", "n_rows", F.col("_code").cast("int").alias("code"))
 
 
 def static_codec(dtype: str, width: int | None = None) -> str:
@@ -85,6 +84,16 @@ def advise(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return out
 
 
+def measured_ratios(df: DataFrame, column: str, codecs: tuple[str, ...] = ("snappy", "lz4", "deflate")) -> dict[str, float]:
+    """Plain bytes over encoded bytes of a bounded sample of a column's values."""
+    import pyarrow as pa
+
+    held = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).orderBy(F.xxhash64(column), column).limit(SAMPLE).collect()]
+    plain = "\n".join(held).encode()
+    names = {"deflate": "gzip"}
+    return {c: len(plain) / max(1, len(pa.Codec(names.get(c, c)).compress(plain, asbytes=True))) for c in codecs}
+
+
 def choose_codec(ratios: dict[str, float], storage: float = 65.0) -> str:
     """The codec that delivers most plain bytes per second: the slower of what
     storage feeds it (times its ratio) and what it decompresses. Speeds and

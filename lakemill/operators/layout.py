@@ -5,10 +5,18 @@ with small row groups, whose min and max Parquet skips by."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.operators import zonemap
+from lakemill.operators.ordering import before, same
+from lakemill.operators.zonemap import Between
+from lakemill.session import exists, fingerprint, shared_dir
+
 #: Sort keys, the column with the fewest values first.
 LINEITEM_KEYS = ("r_name", "c_mktsegment", "o_orderdate", "l_shipdate")
 ORDERS_KEYS = ("r_name", "c_mktsegment", "o_orderdate")
@@ -60,15 +68,37 @@ def split_evenly(df: DataFrame, files: int, *keys: str) -> DataFrame:
     """df with file_no 0..files - 1: equal shares of the order of the keys.
 
     The shares' bounds are exact quantiles of positions: rows are counted per
-    distinct key, so keys that many rows share cost one row."""
-    from pyspark.sql import Window
-
+    distinct key, so keys that many rows share cost one row, and the counts are
+    summed within ranges of the keys."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.col(keys[0])).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    # Two levels: totals of the first key, then places within it.
-    outer = counts.groupBy(keys[0]).agg(F.sum("_n").alias("_t"))
-    start = Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)
-    outer = outer.select(F.col(keys[0]).alias("_k"), F.coalesce(F.sum("_t").over(start), F.lit(0)).alias("_s"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    place = counts.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(outer, F.col(keys[0]) == F.col("_k"))
-    place = place.withColumn("file_no", F.floor((F.col("_s") + F.col("_b")) * files / F.col("_all")).cast("int"))
-    return df.join(place.select(*keys, "file_no"), list(keys))
+    place = before(counts, keys, F.col("_n"), "_before", "_total").select(*keys, F.floor(F.col("_before") * files / F.col("_total")).cast("int").alias("file_no"))
+    return df.join(place, same(df, place, keys)).drop(*[place[k] for k in keys])
+
+
+@dataclass(frozen=True)
+class Zones:
+    """A sorted copy of a table in files of equal shares, one folder a file,
+    and the zone map of its files, both written once."""
+
+    data: DataFrame
+    zonemap: DataFrame  # chunk_id, n_rows, min and max of columns: a row a file
+
+    def scan(self, *predicates: Between) -> DataFrame:
+        """The rows that meet the predicates, from active files only: the
+        others are not listed for the scan."""
+        active = [r.chunk_id for r in zonemap.active_chunks(self.zonemap, *predicates).collect()]  # at most one a file
+        rest = reduce(Column.__and__, (p.rows() for p in predicates), F.lit(True))
+        return self.data.where(F.col("zone").isin(active) if active else F.lit(False)).where(rest).drop("zone")
+
+
+def zones(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame], files: int, keys: tuple[str, ...], *columns: str, row_group: int = 1 << 20) -> Zones:
+    """The sorted copy of make() and its zone map, from the shared folder; they
+    are written if they are not there for these files of `source`."""
+    path = f"{shared_dir(spark)}/zones-{label}-{files}-{fingerprint(spark, source)}"
+    if not exists(spark, f"{path}/map/_SUCCESS"):
+        split = split_evenly(make(), files, *keys).withColumnRenamed("file_no", "zone")
+        split.repartition(files, "zone").sortWithinPartitions("zone", *keys).write.mode("overwrite").option("parquet.block.size", row_group).partitionBy("zone").parquet(f"{path}/data")
+        stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+        written = spark.read.parquet(f"{path}/data").groupBy(F.col("zone").cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_rows"), *stats)
+        written.coalesce(1).write.mode("overwrite").parquet(f"{path}/map")
+    return Zones(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/map"))

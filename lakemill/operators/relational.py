@@ -23,10 +23,31 @@ def outer_count(df: DataFrame, key: str, other: DataFrame, other_key: str, name:
     return df.select(key).join(counts, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("_n", F.lit(0)).alias(name))
 
 
-def partitioned_hash_join(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
+#: Rows of one key, and bytes of one share, that a task may build a table of.
+HOT_ROWS, SHARE_BYTES = 1_000_000, 64 << 20
+
+
+def partitioned_hash_join(df: DataFrame, other: DataFrame, left: str, right: str, hot_rows: int = HOT_ROWS, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """Both sides are dealt by a hash of the key, and each share of `other` is
-    built into a table in memory; larger shares fall back to a sort."""
-    return df.join(other.hint("shuffle_hash"), F.col(left) == F.col(right))
+    built into a table in memory. A share that does not fit ends the job, so
+    `other` is measured first: its bytes, as planned, give the number of shares,
+    and rows of keys that more than hot_rows rows have, which no number of
+    shares parts, are joined by a sort, which spills."""
+    keys = other.groupBy(F.col(right).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("_hot")
+    is_hot = not keys.isEmpty()
+    size = int(str(other._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(usual, -(-size // share_bytes)) if size < 1 << 60 else usual  # beyond: a plan without statistics
+    on = F.col(left) == F.col(right)
+
+    def cold(side: DataFrame, key: str) -> DataFrame:
+        return side.join(keys, F.col(key) == F.col("_hot"), "left_anti") if is_hot else side
+
+    out = cold(df, left).repartition(shares, left).join(cold(other, right).repartition(shares, right).hint("shuffle_hash"), on)
+    if is_hot:
+        hot = lambda side, key: side.join(keys, F.col(key) == F.col("_hot"), "left_semi")
+        out = out.unionByName(hot(df, left).hint("merge").join(hot(other, right), on))
+    return out
 
 
 def distinct_count(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

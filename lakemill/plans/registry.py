@@ -15,12 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for k, plan in tpch.plans().items():
-        out[k] = lambda spark, d, plan=plan: plan(fixture.tpch(spark, d))
+        out[k] = lambda spark, d, plan=plan: plan(fixture.tpch(spark, d, idle_customers=True))
     for k, plan in ssb.plans().items():
         out[k] = lambda spark, d, plan=plan: plan(fixture.ssb(spark, d))
     return out | slices.plans()
 
 
 def oracles() -> dict[str, str]:
-    prelude = fixture.sql()
+    prelude = fixture.sql(idle_customers=True)
     return {k: prelude + q for k, q in (tpch.oracles() | ssb.oracles()).items()} | slices.oracles()

@@ -13,9 +13,11 @@ from lakemill.functions.fixed import exact_sum, scaled, yyyymmdd
 from lakemill.operators import encoding, layout, relational, zonemap
 from lakemill.operators.zonemap import Between, point
 from lakemill.plans import ssb, tpch
-from lakemill.sources import fixture
+from lakemill.session import exists, fingerprint, shared_dir
+from lakemill.sources import files, fixture
 
 CHUNK = 512  # order keys
+FILES = 16  # of a sorted layout
 D94, D95, D315 = date(1994, 1, 1), date(1995, 1, 1), date(1995, 3, 15)
 
 
@@ -176,15 +178,33 @@ def zonemap_other_column(spark, d):
     return lines.join(active, "chunk_id", "left_semi")
 
 
+def _zoned_orders(spark, d):
+    """Orders in files sorted by day, with their zone map, written once."""
+    return layout.zones(spark, "orders", f"{d}/orders.parquet", lambda: _t(spark, d)["orders"], FILES, ("o_orderdate",), "o_orderdate")
+
+
+def _zoned_lines(spark, d):
+    return layout.zones(spark, "lineitem", f"{d}/lineitem.parquet", lambda: _t(spark, d)["lineitem"], FILES, ("l_shipdate",), "l_shipdate", "l_quantity", "l_discount")
+
+
+def zonemap_sorted_report(spark, d):
+    """Of the files sorted by day, those that a month leaves, and their rows."""
+    return zonemap.pruning_report(_zoned_orders(spark, d).zonemap, Between("o_orderdate", D94, date(1994, 2, 1), True))
+
+
 def zonemap_scan_orders(spark, d):
+    return _zoned_orders(spark, d).scan(Between("o_orderdate", D94, date(1994, 2, 1), True)).select("o_orderkey", "o_orderdate")
+
+
+def zonemap_scan_chunks(spark, d):
+    """The same month through chunks of the order key, over the files as they are."""
     t = _t(spark, d)
     return zonemap.scan(t["orders"], "o_orderkey", CHUNK, _orders_map(spark, d), Between("o_orderdate", D94, date(1994, 2, 1), True)).select("o_orderkey", "o_orderdate")
 
 
 def zonemap_scan_q6(spark, d):
     where = (Between("l_shipdate", D94, D95, True), Between("l_discount", 5, 7), Between("l_quantity", None, 2400, True))
-    rows = zonemap.scan(_t(spark, d)["lineitem"], "l_orderkey", CHUNK, _line_map(spark, d), *where)
-    return rows.agg(scaled(exact_sum(F.col("l_extendedprice") * F.col("l_discount")), 10**4).alias("revenue"))
+    return _zoned_lines(spark, d).scan(*where).agg(scaled(exact_sum(F.col("l_extendedprice") * F.col("l_discount")), 10**4).alias("revenue"))
 
 
 def layout_wide_orders(spark, d):
@@ -199,9 +219,6 @@ def layout_wide_lineorder(spark, d):
     return layout.wide_lineorder(fixture.ssb(spark, d)).groupBy("s_region", "c_region", "p_mfgr").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("lo_revenue").cast("long").alias("lo_revenue"))
 
 
-FILES = 16
-
-
 def layout_split_orders(spark, d):
     """Sorted orders in 16 even files: rows and zone of each."""
     files = layout.split_evenly(layout.wide_orders(_t(spark, d)), FILES, *layout.ORDERS_KEYS)
@@ -241,34 +258,71 @@ def sideways_prune_ssb_q4(spark, d):
     return zonemap.evaluate(_ssb_zones(spark, d, "s_region", "c_region", "p_mfgr"), point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2")).select("chunk_id", "n_rows", "active")
 
 
-def _wide(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return t | {"lineitem": layout.wide_lineitem(t), "orders": layout.wide_orders(t)}
+def _zoned_wide(spark, d):
+    """Denormalised lines in files sorted by region, segment and order date."""
+    return layout.zones(spark, "wide-lineitem", d, lambda: layout.wide_lineitem(_t(spark, d)), FILES, layout.LINEITEM_KEYS[:3], "r_name", "c_mktsegment", "o_orderdate", "l_shipdate")
 
 
 def sideways_tpch_q3(spark, d):
-    """Q3 over denormalised tables, pruned by segment and order date before it joins."""
-    return tpch.q3(_wide(_t(spark, d)))
+    """Q3 over files that segment and dates of other tables have pruned."""
+    lines = _zoned_wide(spark, d).scan(point("c_mktsegment", "BUILDING"), Between("o_orderdate", None, D315, True), Between("l_shipdate", D315))
+    return tpch.q3(_t(spark, d) | {"lineitem": lines})
 
 
 def sideways_tpch_q5(spark, d):
-    return tpch.q5(_wide(_t(spark, d)))
+    lines = _zoned_wide(spark, d).scan(point("r_name", "ASIA"), Between("o_orderdate", D94, D95, True))
+    return tpch.q5(_t(spark, d) | {"lineitem": lines})
 
 
-def _wide_ssb(spark, d, name):
+def _zoned_ssb(spark, d, name, *predicates):
     t = fixture.ssb(spark, d)
-    return ssb.plans()[name](t | {"lineorder": layout.wide_lineorder(t)})
+    zoned = layout.zones(spark, "wide-lineorder", d, lambda: layout.wide_lineorder(t), FILES, layout.LINEORDER_KEYS[:4], "s_region", "c_region", "p_mfgr", "p_category")
+    return ssb.plans()[name](t | {"lineorder": zoned.scan(*predicates)})
 
 
 def sideways_ssb_q21(spark, d):
-    return _wide_ssb(spark, d, "ssb_q21")
+    return _zoned_ssb(spark, d, "ssb_q21", point("s_region", "AMERICA"), point("p_category", "MFGR#12"))
 
 
 def sideways_ssb_q31(spark, d):
-    return _wide_ssb(spark, d, "ssb_q31")
+    return _zoned_ssb(spark, d, "ssb_q31", point("s_region", "ASIA"), point("c_region", "ASIA"))
 
 
 def sideways_ssb_q42(spark, d):
-    return _wide_ssb(spark, d, "ssb_q42")
+    return _zoned_ssb(spark, d, "ssb_q42", point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2"))
+
+
+def op_random_ids(spark, d):
+    """Ids drawn with a seed: how many there are, and whether all are in range."""
+    ids = relational.sampled_ids(_raw(spark, d, "region"), 100, 600, 20_000, seed=3)
+    return ids.agg(F.count(F.lit(1)).alias("n_ids"), (F.min("id") >= 100).alias("low_ok"), (F.max("id") < 600).alias("high_ok"), (F.countDistinct("id") > 490).alias("spread"))
+
+
+def tbl_round_trip(spark, d):
+    """Customers written as delimited lines and read again by the declared schema."""
+    path = f"{shared_dir(spark)}/tbl-{fingerprint(spark, f'{d}/customer.parquet')}"
+    own = _raw(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    if not exists(spark, f"{path}/customer.tbl/_SUCCESS"):
+        files.write_tbl(own.withColumn("_end", F.lit("")), f"{path}/customer.tbl")
+    return files.read_tbl(spark, f"{path}/customer.tbl", "c_custkey bigint, c_name string, c_nationkey bigint, c_mktsegment string")
+
+
+def result_round_trip(spark, d):
+    """A result written as delimited text with a header, and read again."""
+    path = f"{shared_dir(spark)}/result-{fingerprint(spark, f'{d}/customer.parquet')}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        files.write_result(_raw(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.csv(path, sep="|", header=True, schema="c_mktsegment string, n bigint")
+
+
+def codec_choice(spark, d):
+    """The codec of each text column by ratio times speed, ratios measured on a
+    bounded sample: rows and columns are certain, the choice is one of three."""
+    rows = []
+    for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_type")):
+        best = encoding.choose_codec(encoding.measured_ratios(_raw(spark, d, t), c))
+        rows.append((t, c, best in encoding.SPEEDS))
+    return spark.createDataFrame(rows, "table_name string, column_name string, chosen boolean")
 
 
 def op_sequential_ids(spark, d):
@@ -318,12 +372,12 @@ def oracles() -> dict[str, str]:
     wide_l = f"{wide_o}, wl AS (SELECT t_lineitem.*, o_orderdate, r_name, c_mktsegment FROM t_lineitem JOIN wo ON l_orderkey = o_orderkey)"
     wide_s = "ws AS (SELECT s_lineorder.*, s_region, s_nation, c_region, c_nation, p_mfgr, p_category FROM s_lineorder JOIN s_supplier ON lo_suppkey = s_suppkey JOIN s_customer ON lo_custkey = c_custkey JOIN s_part ON lo_partkey = p_partkey)"
 
-    def files(src: str, keys: tuple[str, ...]) -> str:
+    def shares(src: str, keys: tuple[str, ...]) -> str:
         order = ", ".join(keys)
         return f"f AS (SELECT *, CAST((rank() OVER (ORDER BY {order}) - 1) * {FILES} // count(*) OVER () AS INTEGER) AS file_no FROM {src})"
 
     def zones(wide: str, src: str, keys: tuple[str, ...], active: str) -> str:
-        return t + f", {wide}, {files(src, keys)} SELECT CAST(file_no AS BIGINT) AS chunk_id, count(*) AS n_rows, {active} AS active FROM f GROUP BY 1"
+        return t + f", {wide}, {shares(src, keys)} SELECT CAST(file_no AS BIGINT) AS chunk_id, count(*) AS n_rows, {active} AS active FROM f GROUP BY 1"
 
     at = lambda c, v: f"(min({c}) <= {v} AND max({c}) >= {v})"
     width = lambda x: f"CASE WHEN {x} > 0 THEN length(bin({x})) ELSE 0 END"
@@ -374,7 +428,12 @@ def oracles() -> dict[str, str]:
         "zonemap_active_list": t + f", {orders_map} SELECT chunk_id FROM om WHERE {june}",
         "zonemap_report": t + f", {orders_map} SELECT count(*) AS chunks, count(*) FILTER (WHERE NOT ({june})) AS chunks_pruned, CAST(sum(n_rows) AS BIGINT) AS all_rows, CAST(coalesce(sum(n_rows) FILTER (WHERE {june}), 0) AS BIGINT) AS rows_scanned FROM om",
         "zonemap_other_column": t + f", {orders_map} SELECT {chunk('l_orderkey')} AS chunk_id, count(*) AS n_lines FROM t_lineitem WHERE {chunk('l_orderkey')} IN (SELECT chunk_id FROM om WHERE {june}) GROUP BY 1",
-        "zonemap_scan_orders": t + " SELECT o_orderkey, o_orderdate FROM t_orders WHERE o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1994-02-01'",
+        **{k: t + " SELECT o_orderkey, o_orderdate FROM t_orders WHERE o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1994-02-01'" for k in ("zonemap_scan_orders", "zonemap_scan_chunks")},
+        "zonemap_sorted_report": t + f", f AS (SELECT o_orderdate, (rank() OVER (ORDER BY o_orderdate) - 1) * {FILES} // count(*) OVER () AS z FROM t_orders), m AS (SELECT z, count(*) AS n, min(o_orderdate) < DATE '1994-02-01' AND max(o_orderdate) >= DATE '1994-01-01' AS on_ FROM f GROUP BY 1) SELECT count(*) AS chunks, count(*) FILTER (WHERE NOT on_) AS chunks_pruned, CAST(sum(n) AS BIGINT) AS all_rows, CAST(sum(n) FILTER (WHERE on_) AS BIGINT) AS rows_scanned FROM m",
+        "op_random_ids": "SELECT CAST(20000 AS BIGINT) AS n_ids, true AS low_ok, true AS high_ok, true AS spread",
+        "tbl_round_trip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer",
+        "result_round_trip": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
+        "codec_choice": "SELECT * FROM (VALUES ('customer', 'c_name', true), ('customer', 'c_mktsegment', true), ('part', 'p_type', true)) v(table_name, column_name, chosen)",
         "zonemap_scan_q6": t + " " + tpch.oracles()["tpch_q6"],
         **{f"sideways_{k}": f"{t} {(tpch.oracles() | ssb.oracles())[k]}" for k in ("tpch_q3", "tpch_q5", "ssb_q21", "ssb_q31", "ssb_q42")},
         "codec_static_rule": """SELECT table_name, column_name, CASE WHEN column_name IN ('l_returnflag', 'l_linestatus', 'o_orderstatus') THEN 'pfor' WHEN data_type = 'BIGINT' THEN 'pfor64' WHEN data_type = 'VARCHAR' THEN 'lz4' ELSE 'pfor' END AS codec
@@ -383,7 +442,7 @@ def oracles() -> dict[str, str]:
         "layout_wide_orders": t + f", {wide_o} SELECT r_name, c_mktsegment, count(*) AS n_orders, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM wo GROUP BY ALL",
         "layout_wide_lineitem": t + f", {wide_l} SELECT r_name, c_mktsegment, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM wl GROUP BY ALL",
         "layout_wide_lineorder": t + f", {wide_s} SELECT s_region, c_region, p_mfgr, count(*) AS n_lines, CAST(sum(lo_revenue) AS BIGINT) AS lo_revenue FROM ws GROUP BY ALL",
-        "layout_split_orders": t + f", {wide_o}, {files('wo', layout.ORDERS_KEYS)} SELECT file_no, count(*) AS n_rows, min(r_name) AS min_r_name, max(r_name) AS max_r_name, min(c_mktsegment) AS min_c_mktsegment, max(c_mktsegment) AS max_c_mktsegment FROM f GROUP BY 1",
+        "layout_split_orders": t + f", {wide_o}, {shares('wo', layout.ORDERS_KEYS)} SELECT file_no, count(*) AS n_rows, min(r_name) AS min_r_name, max(r_name) AS max_r_name, min(c_mktsegment) AS min_c_mktsegment, max(c_mktsegment) AS max_c_mktsegment FROM f GROUP BY 1",
         "sideways_prune_q3": zones(wide_l, "wl", layout.LINEITEM_KEYS[:3], f"{at('c_mktsegment', repr('BUILDING'))} AND min(o_orderdate) < DATE '1995-03-15' AND max(l_shipdate) >= DATE '1995-03-15'"),
         "sideways_prune_q5": zones(wide_l, "wl", layout.LINEITEM_KEYS[:3], f"{at('r_name', repr('ASIA'))} AND min(o_orderdate) < DATE '1995-01-01' AND max(o_orderdate) >= DATE '1994-01-01'"),
         "sideways_prune_ssb_q2": zones(wide_s, "ws", layout.LINEORDER_KEYS[:4], f"{at('s_region', repr('AMERICA'))} AND {at('p_category', repr('MFGR#12'))}"),
@@ -393,7 +452,7 @@ def oracles() -> dict[str, str]:
     return out
 
 
-NAMES = tuple(n for n in dict(globals()) if n.startswith(("op_", "table_", "scan_checksum", "length_", "zonemap_", "layout_", "sideways_", "encoding_", "codec_")))
+NAMES = tuple(n for n in dict(globals()) if n.startswith(("op_", "table_", "scan_checksum", "length_", "zonemap_", "layout_", "sideways_", "encoding_", "codec_", "tbl_", "result_")))
 
 
 def plans() -> dict:

@@ -42,8 +42,8 @@ def write_tbl(df: DataFrame, path: str) -> None:
 
 
 def write_result(df: DataFrame, path: str) -> None:
-    """A result as `|`-delimited text with a header, one file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, sep="|", header=True)
+    """A result as `|`-delimited text with a header, a file for each task."""
+    df.write.mode("overwrite").csv(path, sep="|", header=True)
 
 
 def plan_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lakemill import verify
+from lakemill import cli, verify
 from lakemill.functions import text
 from lakemill.functions.fixed import bits
 from lakemill.operators import encoding, layout, relational, zonemap
@@ -157,3 +157,51 @@ def test_verify():
     assert verify.same_rows(a, [(2, None, 3.5), (1, "x", 2.0)]) == []
     assert verify.same_rows(a, a[:1]) and verify.same_rows(a, [(1, "x", 2.1), (2, None, 3.5)])
     assert verify.same_rows([(100.0,)], [(100.9,)], relative=0.01) == []
+
+
+def test_places_in_order(spark):
+    """Ranges of keys, one hot prefix, nulls and ties against a plain sort."""
+    rows = [(f"Customer#{k % 700:06d}", k % 3 or None) for k in range(5000)] + [(None, 1), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b int")
+    codes = {r.value: (r.n_rows, r.code) for r in encoding.dictionary(df, "a").collect()}
+    values = sorted({a for a, _ in rows if a})
+    assert codes == {v: (sum(a == v for a, _ in rows), k) for k, v in enumerate(values)}
+    got = [(r.a, r.b, r.file_no) for r in layout.split_evenly(df, 7, "a", "b").collect()]
+    order = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)
+    rank, plain = {}, sorted(rows, key=order)
+    for k, r in enumerate(plain):
+        rank.setdefault(r, k)
+    assert sorted(got, key=lambda r: order(r[:2])) == [(*r, rank[r] * 7 // len(rows)) for r in plain]
+
+
+def test_hot_key_of_a_hash_join(spark):
+    """Keys of many rows are joined by a sort, the rest by tables in memory."""
+    left = spark.range(40).select((F.col("id") % 10).alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([(3, y) for y in range(50)] + [(k, k) for k in range(10)] + [(None, 1)], "j long, y long")
+    plain = left.join(right, F.col("k") == F.col("j"))
+    for most in (1_000, 20):
+        split = relational.partitioned_hash_join(left, right, "k", "j", hot_rows=most)
+        assert sorted(split.collect()) == sorted(plain.collect())
+        text = split._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in text and ("SortMergeJoin" in text) == (most == 20)
+
+
+def test_zones_are_written_once_and_skip_files(spark, t):
+    from datetime import date
+
+    from lakemill.operators.zonemap import Between
+    from lakemill.plans import slices
+
+    a, b = slices._zoned_lines(spark, SMALL), slices._zoned_lines(spark, SMALL)
+    assert sorted(a.data.inputFiles()) == sorted(b.data.inputFiles()) and a.zonemap.count() == slices.FILES
+    days = Between("l_shipdate", date(1994, 1, 1), date(1995, 1, 1), True)
+    got = a.scan(days)
+    rows = got.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, t["lineitem"].where(days.rows()).select(*got.columns).collect()))
+    read = cli.scan_metrics(got)
+    assert 0 < read["files"] < slices.FILES / 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "zone" in plan and "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan
+    report = slices.zonemap_sorted_report(spark, SMALL).first()
+    assert report.chunks_pruned > 0 and report.rows_scanned < report.all_rows / 4
+    assert a.scan(Between("l_shipdate", date(2090, 1, 1))).collect() == []
