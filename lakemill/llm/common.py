@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.session import reach_workers
+from lakemill.session import delete, reach_workers, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _one_machine() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='lakemill-')}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where
-    that setting is absent, one machine's own folder serves a local master; a
-    cluster must name a folder."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _one_machine()
-
-
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 16 << 20
 
@@ -66,9 +48,7 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         _, path = _paths.pop(id(df), (None, None))
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 class Scratch:

@@ -7,23 +7,24 @@ window over it has the same words as a window of a document with a smaller id.
    windows select equal grams. Consecutive windows mostly select the same place,
    so the corpus gives one anchor for about five words: (gram hash, hash of the
    extent of windows that selected it, document).
-2. Recurring anchors: grams seen in two documents, found by partial sums. If
-   all extents of a gram are equal, all its windows are shared by all documents
-   that have it, and the smallest of them owns them.
-3. Confirmed windows: where extents differ (at the ends of shared passages, and
-   for short common phrases), the windows themselves are hashed and summed in
-   the same way, which gives each its owner. A window is identified by its own
-   hash together with its gram's: 128 bits.
-4. Automata. Documents come back with the recurring passages confirmed in them.
-   They are taken in shards of bounded size; a shard's confirmed passages
-   (maximal runs of confirmed windows) are compiled into Aho-Corasick automata
-   (one sign a word, about `automaton_signs` signs each), all of the shard's
-   documents are streamed through them, and every occurrence of a passage whose
-   owners are all smaller than the document is removed.
+2. Recurring passages are confirmed by partial sums over grams. If all extents
+   of a gram are equal, the extent is one passage, and the smallest of the
+   documents that have it owns it. Where extents differ (at the ends of shared
+   text, and for short common phrases), the windows themselves are hashed and
+   summed in the same way: each window of two documents is a passage.
+3. Owners emit the words of their passages. Passages are dealt to shards by
+   owner, so that the passages of one source text are together, and each shard's
+   are compiled into Aho-Corasick automata of about `automaton_signs` signs, one
+   sign a word.
+4. All documents that share a passage with a smaller one are streamed through
+   the automata of those owners' shards, which locate every occurrence; nothing
+   else tells where a passage stands. What an occurrence of a smaller owner's
+   passage covers is removed.
 
 No step gathers rows by a key that a document may share with others: sums are
 partial, joins on grams and windows are plain joins whose hot keys adaptive
-execution splits, and lists are per document, bounded by its length.
+execution splits, lists are per document, bounded by its length, and a shard
+that very many documents need is dealt to several tasks, each with its automata.
 """
 
 from __future__ import annotations
@@ -37,13 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import in_batches, stage
+from lakemill.llm.common import discard, in_batches, stage
 from lakemill.llm.textops import Piece, mix, pieces, window_hashes, window_ok
 
 WIDTH = 13
 GRAM = 5
-SHARD_BYTES = 1 << 20
 AUTOMATON_SIGNS = 500_000
+#: Documents that one task streams through the automata of a shard.
+STREAMED = 20_000
 _NO_ID = (1 << 63) - 1  # a null id: larger than any other, so it owns nothing
 
 
@@ -117,90 +119,173 @@ def _open_windows(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> I
     """The windows of anchors whose extents differ between documents."""
     for batch in batches:
         ids = _ids(batch.column("doc_id"))
-        grams = batch.column("grams")
         for piece in pieces(batch.column("text")):
             a = Anchors(piece, width, gram)
-            row, key, is_open = _listed(grams, piece.lo, piece.hi, ("gram", "open"))
-            key, is_open = key.to_numpy().view(np.uint64), is_open.to_numpy(zero_copy_only=False)
-            found, _ = _lookup(_in_row(row[is_open], key[is_open]), row[is_open], _in_row(a.row, a.gram))
+            row, key = _listed(batch.column("open"), piece.lo, piece.hi, ("gram",))
+            found, _ = _lookup(_in_row(row, key.to_numpy().view(np.uint64)), row, _in_row(a.row, a.gram))
             n = (a.last - a.first + 1)[found]
             at = np.repeat(a.first[found] - np.r_[0, np.cumsum(n)[:-1]] if len(n) else a.first[found], n) + np.arange(n.sum())
             yield pa.RecordBatch.from_pydict({"gram": np.repeat(a.gram[found], n).view(np.int64), "window": a.windows[at].view(np.int64), "doc": ids[piece.lo : piece.hi][np.repeat(a.row[found], n)]})
 
 
-def locate(signs: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
-    """Every occurrence in the shard, one sign a word and -1 between rows, of
-    the passages signs[first .. last]: (start, end, owner of the passage).
-
-    An automaton gets passages of about `limit` signs in all."""
-    out = [(np.zeros(0, np.int64),) * 3]
-    size = np.cumsum(last - first + 1)
-    lo = 0
-    while lo < len(first):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right")))
-        used = np.zeros(int(signs.max(initial=0)) + 1, dtype=np.int64)
-        for a, b in zip(first[lo:hi].tolist(), last[lo:hi].tolist()):
-            used[signs[a : b + 1]] = 1
-        code = np.cumsum(used) * used  # 0: a word of no passage here
-        code += (code > 0) + 0x800 * (code >= 0xD7FF)  # 1 parts rows, and surrogates are no characters
-        text = np.where(signs < 0, 1, code[signs]).astype("<u4").tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for a, b, who in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), owner[lo:hi].tolist()):
-            automaton.add_word(text[a : b + 1], (b - a, who))
-        automaton.make_automaton()
-        hits = np.array([(end - more, end, who) for end, (more, who) in automaton.iter(text)], dtype=np.int64).reshape(-1, 3)
-        out.append(tuple(hits.T))
-        lo = hi
-    return tuple(map(np.concatenate, zip(*out)))
-
-
-def _passages(at: np.ndarray, who: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, ...]:
-    """Confirmed windows, by start, to maximal runs: first word, last word and
-    the largest owner. A run of over `limit` words is cut."""
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
-    new = np.r_[True, (at[1:] != at[:-1] + 1)]
-    run = np.cumsum(new) - 1
-    new |= (at - at[new][run]) % limit == 0
-    begin = np.flatnonzero(new)
-    return at[begin], at[np.r_[begin[1:], len(at)] - 1] + width - 1, np.maximum.reduceat(who, begin)
-
-
-def _remove(batches: Iterator[pa.RecordBatch], width: int, gram: int, limit: int) -> Iterator[pa.RecordBatch]:
+def _phrases(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Of each row (doc, hash, text, grams, windows, routes, shard, copies): the
+    passages that it owns, parted by line feeds, to each copy of its shard
+    (part 0), and its text to each of its routes (part 1)."""
     for batch in batches:
-        ids = _ids(batch.column("doc_id"))
-        for piece in pieces(batch.column("text"), limit=SHARD_BYTES):
+        docs = batch.column("doc").to_numpy()
+        out: dict[str, list] = {c: [] for c in DEALT}
+        copies, shards = batch.column("copies").to_numpy(), batch.column("shard").to_numpy()
+        for piece in pieces(batch.column("text")):
+            row_g, key_g = _listed(batch.column("grams"), piece.lo, piece.hi, ("gram",))
+            row_w, gram_w, key_w = _listed(batch.column("windows"), piece.lo, piece.hi, ("gram", "window"))
+            if not len(row_g) and not len(row_w):
+                continue
             a = Anchors(piece, width, gram)
-            own_ids = ids[piece.lo : piece.hi]
-            row, key, owner, is_open = _listed(batch.column("grams"), piece.lo, piece.hi, ("gram", "owner", "open"))
-            own = ~is_open.to_numpy(zero_copy_only=False)
-            found, who = _lookup(_in_row(row, key.to_numpy().view(np.uint64))[own], owner.to_numpy()[own], _in_row(a.row, a.gram))
+            none = np.zeros(len(row_g), dtype=np.int64)
+            whole, _ = _lookup(_in_row(row_g, key_g.to_numpy().view(np.uint64)), none, _in_row(a.row, a.gram))
             n = a.last - a.first + 1
             of = np.repeat(np.arange(len(n)), n)
             at = np.flatnonzero(a.ok)  # of[k] is the anchor that window at[k] selected
-            whole = found[of]
-            row, key, window, owner = _listed(batch.column("windows"), piece.lo, piece.hi, ("gram", "window", "owner"))
             single = lambda g, w: mix(g * np.uint64(5) + w)
-            other, who_else = _lookup(_in_row(row, single(key.to_numpy().view(np.uint64), window.to_numpy().view(np.uint64))), owner.to_numpy(), _in_row(a.row[of], single(a.gram[of], a.windows[at])))
-            phrase, who = at[whole | other], np.where(whole, who[of], who_else)[whole | other]
+            wanted = _in_row(a.row[of], single(a.gram[of], a.windows[at]))
+            alone, _ = _lookup(_in_row(row_w, single(gram_w.to_numpy().view(np.uint64), key_w.to_numpy().view(np.uint64))), np.zeros(len(row_w), dtype=np.int64), wanted)
+            # One of each passage: places of equal keys in a row hold equal words.
+            _, once = np.unique(_in_row(a.row, a.gram)[whole], return_index=True)
+            _, once_alone = np.unique(wanted[alone], return_index=True)
+            first = np.r_[a.first[whole][once], at[alone][once_alone]]
+            last = np.r_[a.last[whole][once], at[alone][once_alone]] + width - 1
+            order = np.argsort(first, kind="stable")
+            first, last = first[order], last[order]
+            row = piece.row_of_word()[first]
+            raw = piece.data.tobytes().translate(_NO_FEED)
+            cut = [raw[x:y] for x, y in zip(piece.starts[first].tolist(), piece.ends[last].tolist())]
+            bound = np.searchsorted(row, np.arange(piece.hi - piece.lo + 1)).tolist()
+            for k in range(piece.hi - piece.lo):
+                if bound[k] < bound[k + 1]:
+                    held = b"\n".join(cut[bound[k] : bound[k + 1]])
+                    for copy in range(int(copies[piece.lo + k])):
+                        for c, v in zip(DEALT, (int(shards[piece.lo + k]), copy, 0, int(docs[piece.lo + k]), 0, held)):
+                            out[c].append(v)
+        if out["doc"]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in DEALT.items()], names=list(DEALT)).set_column(5, "text", pa.array(out["text"], pa.large_binary()).cast(pa.string()))
+        row, shard, copy = _listed(batch.column("routes"), 0, batch.num_rows, ("shard", "copy"))
+        if len(row):
+            which = pa.array(row)
+            own = [shard, copy, pa.array(np.ones(len(row), dtype=np.int64)), *(batch.column(c).take(which) for c in ("doc", "hash", "text"))]
+            yield pa.RecordBatch.from_arrays([x.cast(pa.int64()) if c != "text" else x.cast(pa.string()) for c, x in zip(DEALT, own)], names=list(DEALT))
+
+
+#: Columns of what is dealt to shards, and what Arrow builds them of.
+DEALT = {"shard": pa.int64(), "copy": pa.int64(), "part": pa.int64(), "doc": pa.int64(), "hash": pa.int64(), "text": pa.large_binary()}
+_NO_FEED = bytes(0x20 if k == 0x0A else k for k in range(256))
+
+
+class Automata:
+    """The passages of one shard, about `limit` signs to an automaton."""
+
+    def __init__(self, owned: list[tuple[int, str]], limit: int):
+        texts = [t for _, held in owned for t in held.split("\n")]
+        owner = [who for who, held in owned for _ in range(held.count("\n") + 1)]
+        self.parts = []
+        lo, size = 0, 0
+        for k, t in enumerate(texts):
+            size += t.count(" ") + 1
+            if size >= limit or k + 1 == len(texts):
+                self.parts.append(self._compile(texts[lo : k + 1], owner[lo : k + 1]))
+                lo, size = k + 1, 0
+
+    @staticmethod
+    def _compile(texts: list[str], owner: list[int]) -> tuple[np.ndarray, ahocorasick.Automaton]:
+        hashes, first = [], [0]
+        for piece in pieces(pa.array(texts, pa.large_string())):
+            hashes.append(piece.word_hashes())
+            first += (first[-1] + piece.first[1:]).tolist()
+        words = np.concatenate(hashes)
+        known = np.unique(words)
+        signs = _signs(known, words)
+        least: dict[str, int] = {}
+        for k, who in enumerate(owner):
+            passage = signs[first[k] : first[k + 1]]
+            least[passage] = min(who, least.get(passage, who))
+        automaton = ahocorasick.Automaton()
+        for passage, who in least.items():
+            automaton.add_word(passage, (len(passage), who))
+        automaton.make_automaton()
+        return known, automaton
+
+    def locate(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start, end, owner) of every occurrence in a run of word hashes."""
+        for known, automaton in self.parts:
+            for last, (n, who) in automaton.iter(_signs(known, words)):
+                yield last - n + 1, last + 1, who
 
-            of_word = piece.row_of_word()
+
+def _signs(known: np.ndarray, words: np.ndarray) -> str:
+    """One character a word: its place among the known ones, 0 for any other."""
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    code = np.where(known[at] == words, at + 1, 0)
+    code += 0x800 * (code >= 0xD800)  # surrogates are no characters
+    return code.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _locate(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, copy, part, doc, hash, text), sorted by the first three, to
+    (doc, hash, start, end): the runs of words that go, by the occurrences."""
+    at: tuple[int, int] | None = None
+    owned: list[tuple[int, str]] = []
+    automata: Automata | None = None
+    for batch in batches:
+        shard, copy, part, docs = (batch.column(c).to_numpy() for c in ("shard", "copy", "part", "doc"))
+        edge = np.flatnonzero((shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1]) | (part[1:] != part[:-1])) + 1
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+            if lo == hi:
+                continue
+            if (here := (int(shard[lo]), int(copy[lo]))) != at:
+                at, owned, automata = here, [], None
+            if part[lo] == 0:
+                owned += zip(docs[lo:hi].tolist(), batch.column("text").slice(lo, hi - lo).to_pylist())
+                continue
+            if automata is None:
+                automata, owned = Automata(owned, limit), []
+            out: dict[str, list] = {"row": [], "start": [], "end": []}
+            for piece in pieces(batch.column("text").slice(lo, hi - lo)):
+                words, own = piece.word_hashes(), docs[lo + piece.lo : lo + piece.hi]
+                # Rows are parted by a sign of no passage, so no occurrence crosses them.
+                of_word = piece.row_of_word()
+                apart = np.zeros(len(words) + len(own), dtype=np.uint64)
+                apart[np.arange(len(words)) + of_word] = words
+                starts = piece.first[:-1] + np.arange(len(own))
+                hits = np.array(list(automata.locate(apart)), dtype=np.int64).reshape(-1, 3)
+                row = np.searchsorted(starts, hits[:, 0], side="right") - 1
+                later = hits[:, 2] < own[row]
+                row, start, end = row[later], hits[later, 0] - starts[row[later]], hits[later, 1] - starts[row[later]]
+                # Occurrences that touch are one run.
+                order = np.lexsort((start, row))
+                row, start, end = row[order], start[order], end[order]
+                if len(row):
+                    base = row * (int(end.max()) + 1)  # reach within a row only
+                    reach = np.maximum.accumulate(base + end)
+                    new = np.r_[True, base[1:] + start[1:] > reach[:-1]]
+                    begin = np.flatnonzero(new)
+                    out["row"].append(row[begin] + lo + piece.lo)
+                    out["start"].append(start[begin])
+                    out["end"].append(np.maximum.reduceat(end, begin))
+            if out["row"]:
+                row = np.concatenate(out["row"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("doc", "hash")), *(pa.array(np.concatenate(out[c])) for c in ("start", "end"))], names=["doc", "hash", "start", "end"])
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, runs) to the words that no run holds."""
+    for batch in batches:
+        for piece in pieces(batch.column("text")):
+            row, start, end = _listed(batch.column("runs"), piece.lo, piece.hi, ("start", "end"))
             cover = np.zeros(len(piece.starts) + 1, dtype=np.int64)
-            first, last, owner = _passages(phrase, who, width, limit)
-            if len(first):
-                # One sign a word; word k is signs[k + its row], with a gap after each row.
-                place = np.arange(len(of_word)) + of_word
-                signs = np.full(len(piece.starts) + len(piece.rows), -1, dtype=np.int64)
-                signs[place] = np.unique(a.words, return_inverse=True)[1]
-                word_at = np.zeros(len(signs), dtype=np.int64)
-                word_at[place] = np.arange(len(of_word))
-                start, end, whose = locate(signs, place[first], place[last], owner, limit)
-                start, end = word_at[start], word_at[end]
-                smaller = whose < own_ids[of_word[start]]
-                np.add.at(cover, start[smaller], 1)
-                np.add.at(cover, end[smaller] + 1, -1)
+            np.add.at(cover, piece.first[row] + start.to_numpy(), 1)
+            np.add.at(cover, piece.first[row] + end.to_numpy(), -1)
             cover = np.cumsum(cover)[:-1] > 0
-            lost = np.add.reduceat(np.r_[cover, False], np.minimum(piece.first[:-1], len(cover)), dtype=np.int64) * (piece.n_words > 0)
+            lost = np.diff(np.r_[0, np.cumsum(cover)][piece.first])
             kept = []
             raw = piece.data.tobytes()
             for k in range(len(piece.rows) - 1):
@@ -214,13 +299,32 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int, gram: int, limit: int
             )
 
 
+def _plan(grams: DataFrame, mine: DataFrame, width: int, signs: int) -> DataFrame:
+    """Of each document that owns or needs a passage: its passages, its shard
+    and the shard's copies, and the (shard, copy) that its text goes to."""
+    none = "array()"
+    both = grams.join(mine, "doc", "full").select("doc", *[F.coalesce(c, F.expr(none)).alias(c) for c in ("own", "from", "windows", "from_windows")])
+    both = stage(both.select("doc", F.col("own").alias("grams"), "windows", F.array_union("from", "from_windows").alias("owners")), "passages")
+    words = both.agg(F.sum(F.size("grams") * (width + 4) + F.size("windows") * width)).first()[0] or 0
+    shards = max(1, -(-words // signs))
+    shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    needs = both.select("doc", F.explode(F.array_distinct(F.transform("owners", shard_of))).alias("shard"))
+    copies = stage(needs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAMED).cast("long").alias("copies")), "copies")
+    routes = needs.join(copies, "shard").groupBy("doc").agg(F.collect_list(F.struct("shard", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("copies")).alias("copy"))).alias("routes"))
+    out = both.select("doc", "grams", "windows", shard_of("doc").alias("shard")).join(copies, "shard", "left").join(routes, "doc", "left")
+    out = stage(out.withColumn("copies", F.coalesce("copies", F.lit(0).cast("long"))), "plan")
+    discard(both, copies)
+    return out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, automaton_signs: int = AUTOMATON_SIGNS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of each row.
 
-    Null and empty texts have no words and keep the empty text. Of rows with
-    one id none is smaller, so they do not remove each other's words. A null id
-    is larger than any other. Empty table: no rows. Other columns are not
-    looked at.
+    Null and empty texts have no words and keep the empty text. Texts of any
+    length are taken whole; a task holds one text and what it shares. Of rows
+    with one id none is smaller, so they do not remove each other's words. A
+    null id is larger than any other. Repeated rows are reported alike. Empty
+    table: no rows. Other columns are not looked at.
     """
     rows = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     anchors = rows.mapInArrow(lambda it: _anchors(it, width, gram, True), "gram long, doc long, extent long")
@@ -232,17 +336,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     )
     # As a table it is joined like any other, so that adaptive execution can split a hot gram.
     recurring = stage(recurring, "recurring")
-    # Null owner: the gram is open. A document needs an anchor if it is open or owned by a smaller id.
+    # Null owner: the gram is open.
     seen = rows.mapInArrow(lambda it: _anchors(it, width, gram, False), "gram long, doc long")
-    needed = seen.join(recurring, "gram").where(F.col("owner").isNull() | (F.col("owner") < F.col("doc")))
-    grams = needed.groupBy("doc").agg(F.collect_set(F.struct("gram", F.coalesce("owner", F.lit(0)).alias("owner"), F.col("owner").isNull().alias("open"))).alias("grams"))
+    owner, is_open = F.col("owner"), F.col("owner").isNull()
+    needed = seen.join(recurring, "gram").groupBy("doc")
+    grams = needed.agg(
+        F.collect_set(F.when(is_open, F.struct("gram"))).alias("open"), F.collect_set(F.when(owner == F.col("doc"), F.struct("gram"))).alias("own"),
+        F.collect_set(F.when(owner < F.col("doc"), owner)).alias("from"),
+    )
     grams = stage(grams, "grams")
     key = F.coalesce("doc_id", F.lit(_NO_ID))
-    with_grams = rows.join(grams, key == F.col("doc"), "left").drop("doc")
-
-    some_open = with_grams.where(F.exists("grams", lambda g: g["open"]))
+    some_open = rows.join(grams.where(F.size("open") > 0).select("doc", "open"), key == F.col("doc")).select("doc_id", "text", "open")
     windows = stage(some_open.mapInArrow(lambda it: _open_windows(it, width, gram), "gram long, window long, doc long"), "windows")
-    owned = windows.groupBy("gram", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("most")).where("owner < most").drop("most")
-    mine = windows.join(stage(owned, "owned"), ["gram", "window"]).where("owner < doc").groupBy("doc").agg(F.collect_set(F.struct("gram", "window", "owner")).alias("windows"))
-    ready = with_grams.join(mine, key == F.col("doc"), "left").select("doc_id", "text", "grams", "windows")
-    return ready.mapInArrow(lambda it: _remove(it, width, gram, automaton_signs), "doc_id long, n_words long, n_removed long, kept_text string")
+    owned = stage(windows.groupBy("gram", "window").agg(F.min("doc").alias("owner"), F.max("doc").alias("most")).where("owner < most").drop("most"), "owned")
+    mine = windows.join(owned, ["gram", "window"]).groupBy("doc").agg(
+        F.collect_set(F.when(owner == F.col("doc"), F.struct("gram", "window"))).alias("windows"), F.collect_set(F.when(owner < F.col("doc"), owner)).alias("from_windows")
+    )
+    plan = _plan(grams.select("doc", "own", "from"), mine, width, automaton_signs)
+    discard(recurring, grams, windows, owned)
+    # A row is known by its id and its text: repeated rows have the same runs.
+    ready = rows.select(key.alias("doc"), F.xxhash64("text").alias("hash"), "text").join(plan.where((F.col("copies") > 0) | F.col("routes").isNotNull()), "doc")
+    dealt = ready.select("doc", "hash", "text", "grams", "windows", "routes", "shard", "copies").mapInArrow(lambda it: _phrases(it, width, gram), "shard long, copy long, part long, doc long, hash long, text string")
+    runs = dealt.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part").mapInArrow(lambda it: _locate(it, automaton_signs), "doc long, hash long, start long, end long")
+    runs = stage(runs.groupBy("doc", "hash").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
+    discard(plan)
+    cut = rows.join(runs, (key == F.col("doc")) & (F.xxhash64("text") == F.col("hash")), "left").select("doc_id", "text", "runs")
+    return cut.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -47,3 +47,29 @@ def test_empty_and_null_ids(spark):
     text = " ".join(f"v{k}" for k in range(13))
     got = D.dedup(spark.createDataFrame([(None, text, 1, 1, "x"), (4, text, 1, 1, "x"), (4, text, 1, 1, "x")], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 13), (4, 0), (4, 0)]
+
+
+def test_the_automata_locate(spark, monkeypatch):
+    """Without occurrences from the automata nothing is removed; copies of a
+    shard's automata change nothing."""
+    docs = documents()
+    df = spark.createDataFrame(docs, SCHEMA)
+    monkeypatch.setattr(D, "STREAMED", 3)
+    assert run(df.repartition(2), automaton_signs=2_000) == brute(docs)
+    owned = [(4, "a b c\nb c d e"), (2, "x y"), (9, "x y")]
+    for limit in (1, 100):
+        held = D.Automata(owned, limit)
+        words = next(D.pieces(__import__("pyarrow").array(["q a b c d e x y"]))).word_hashes()
+        assert set(held.locate(words)) >= {(1, 4, 4), (2, 6, 4), (6, 8, 2)}
+
+
+def test_very_long_text(spark):
+    """A text of some MB that shares one passage, and one that is its copy."""
+    import random
+
+    rnd = random.Random(2)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(150_000))
+    part = " ".join(long.split()[70_000:70_040])
+    docs = [(1, long), (2, f"before {part} after"), (3, long)]
+    got = run(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got[1][1] == 0 and got[2] == (42, 40, "before after") and got[3] == (150_000, 150_000, "")
