@@ -67,7 +67,9 @@ TOKENS = {
 TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "blockquote", "pre", "figure", "dl", "details")
 FEATURES = (*(f"tag_{t}" for t in TAGS), "heading", "other_tag", *(f"token_{k}" for k in TOKENS), *(f"under_{k}" for k in TOKENS), "under_article", "under_boiler_tag", "depth", "log_text", "link_share", "own_share", "text_per_tag", "log_tags", "paragraphs", "stops", "siblings", "place", "same_tag", "share_of_page", "inputs", "has_heading")
 
-_LEX = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z])")
+_NAME_STOP, _TAG_STOP = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _HEADING = re.compile(r"h[1-6]$")
@@ -89,6 +91,42 @@ class Block:
 _NO_TOKENS: frozenset = frozenset()
 
 
+class Tags:
+    """Where the tags of a page end, in time that grows with the page: no stretch
+    is searched twice, and a quote that opens no end is remembered."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.found = {_NAME_STOP: (0, -1), _TAG_STOP: (0, -1)}
+        self.dead: set[int] = set()
+
+    def _next(self, stop: re.Pattern, at: int) -> int:
+        lo, hi = self.found[stop]
+        if not lo <= at <= hi:
+            m = stop.search(self.page, at)
+            self.found[stop] = lo, hi = at, m.start() if m else len(self.page)
+        return hi
+
+    def end(self, at: int) -> tuple[int, int]:
+        """Of the tag whose name begins at `at`: behind the name, and its `>`,
+        which quotes may hide; -1 if there is none."""
+        name = at = self._next(_NAME_STOP, at)
+        met = []
+        while (at := self._next(_TAG_STOP, at)) <= self.last[">"]:
+            sign = self.page[at]
+            if sign == ">":
+                return name, at
+            if at in self.dead:
+                break
+            met.append(at)
+            if at >= self.last[sign]:
+                break
+            at = self.page.find(sign, at + 1) + 1
+        self.dead.update(met)
+        return name, -1
+
+
 def parse(page: str) -> Block:
     """The page as blocks. Scripts, styles, comments, markup and the other
     elements of NEVER leave nothing."""
@@ -98,7 +136,7 @@ def parse(page: str) -> Block:
     n_open: Counter = Counter()  # of each name, so that a search for none costs nothing
     run: list[str] = []
     links = never = 0
-    at, lex, size = 0, _LEX.match, len(page)
+    at, tags, size = 0, Tags(page), len(page)
 
     def flush() -> None:
         nonlocal run
@@ -131,19 +169,31 @@ def parse(page: str) -> Block:
         return -1
 
     while at < size:
-        m = lex(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
-            if stack and stack[-1][0] == "head" and (text[0] != "<" or text == "<") and text.strip(" \t\n\r\f"):
+        begin = at
+        if page[at] != "<":
+            at = page.find("<", at)
+            at = size if at < 0 else at
+        elif page.startswith("<!--", at):
+            at = _COMMENT.match(page, at).end()
+            continue
+        else:
+            m, end = _NAME.match(page, at) if at < tags.last[">"] else None, -1
+            if m:
+                behind, end = tags.end(m.start(2))
+            if end < 0 and at < tags.last[">"] and page[at + 1] in "!?/":
+                at = page.find(">", at + 2 - (page[at + 1] == ">")) + 1
+                continue
+            at = end + 1 if end >= 0 else at + 1
+        if page[begin] != "<" or end < 0:  # text, or a sign that opens nothing
+            text = page[begin:at]
+            if stack and stack[-1][0] == "head" and text.strip(" \t\n\r\f"):
                 pop(len(stack) - 1)
-            if not never and (text[0] != "<" or text == "<"):
+            if not never:
                 run.append(text)
                 if links:
                     block.links += len(text.strip())
             continue
-        name = name.lower()
+        name, attributes = page[m.start(2) : behind].lower(), page[behind:end]
         if m[1]:
             if name == "br":
                 run.append(" ")
@@ -153,7 +203,7 @@ def parse(page: str) -> Block:
         if stack and stack[-1][0] == "head" and name not in METADATA:
             pop(len(stack) - 1)
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at) if at < tags.last[">"] else None
             at = close.end() if close else size
             continue
         if name in CLOSES_P and (k := opened(frozenset({"p"}), _SCOPE)) >= 0:
@@ -171,14 +221,14 @@ def parse(page: str) -> Block:
         own = None
         if name not in INLINE and not never:
             flush()
-            tokens = frozenset(t for a in _ATTR.findall(m[3]) for t in _TOKEN.findall("".join(a).lower())) if m[3] else _NO_TOKENS
+            tokens = frozenset(t for a in _ATTR.findall(attributes) for t in _TOKEN.findall("".join(a).lower())) if attributes else _NO_TOKENS
             own = Block(name, tokens, block)
             block.parts.append(own)
             block = own
         block.inputs += name in ("select", "button", "textarea")
         links += name == "a"
         never += name in NEVER
-        if m[0].endswith("/>") and name in ("svg", "math"):
+        if page[end - 1] == "/" and name in ("svg", "math"):
             never -= 1
             continue
         stack.append((name, own))
@@ -385,9 +435,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url and text (lines are blocks, in page order) of each row.
 
     Null and empty pages, and pages without content, have the empty text.
-    Unclosed and stray tags are read as browsers do. A null url stays null.
-    Repeated rows are extracted alike. Empty table: no rows. Other columns are
-    not looked at.
+    Unclosed and stray tags are read as browsers do. Pages of any length are
+    read whole, in time that grows with their length. Of decisions that tie, a
+    block is dropped. A null url stays null. Repeated rows are extracted alike,
+    also under a null id, which stays null. Empty table: no rows. Other columns
+    are not looked at.
     """
     trees = model()
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

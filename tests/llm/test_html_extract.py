@@ -77,3 +77,15 @@ def test_nulls_and_empty(spark):
     rows = H.main_text(spark.createDataFrame([(1, None, None, 5), (None, "u", "", 5)], schema)).collect()
     assert sorted(r.text for r in rows) == ["", ""]
     assert H.main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_broken_tags_in_linear_time():
+    import time
+
+    for unit in ("<a '", "<!", "<a<a ", "</script ", "<a \"'"):
+        took = []
+        for n in (20_000, 40_000):
+            began = time.perf_counter()
+            H.parse(unit * n + "'")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 4 * took[0] + 0.3, unit
