@@ -8,7 +8,8 @@ The heap's input is bounded whatever the corpus: a group of at least
 at most shards * heavy_per_shard of them, since sizes add up to the total);
 all smaller groups are dealt by hash to shards * bundles_per_shard bundles,
 which are scheduled like groups. Equal texts have equal hashes, so a bundle
-never splits a group.
+never splits a group. Bundles differ in size by far less than a shard, and the
+heap evens out what they differ in.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import stage
 
 FIXED_BYTES = 8
+#: Rows of one id go to so many blocks of slots.
+ROWS_APART = 1024
 
 
 def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
@@ -37,17 +40,22 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", heavy_per_shard: int = 1000, bundles_per_shard: int = 256, rows_per_block: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
-    Null text: no bytes, CRC of the empty string. Repeated rows: each gets its
-    own slot. Empty table: no rows. Other columns are not looked at.
+    Null and empty texts: no bytes, CRC of the empty string, one group. Texts
+    of any length count whole. Groups of equal size go in order of their hash,
+    to the shard of the smallest number of those that are equally loaded.
+    Repeated rows, and rows without an id: each gets its own slot. Empty table:
+    no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    sizes = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + FIXED_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("grp"),
     )
+    rows = stage(sizes, "sizes")  # the texts are read once
     bundles = shards * bundles_per_shard
     groups = stage(rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
     total, count = groups.agg(F.sum("size"), F.sum("n")).first()
@@ -66,11 +74,11 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         rows.withColumn("bundle", bundle)
         .join(F.broadcast(of_group), "grp", "left")  # both maps are bounded by parameters, not by the corpus
         .join(F.broadcast(of_bundle), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("long").alias("block"))
+        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", F.col("row") % ROWS_APART), F.lit(blocks)).cast("long").alias("block"), "row")
     )
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     return (
         placed.withColumn("inside", inside)
         .join(starts, ["shard", "block"])
