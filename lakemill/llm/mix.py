@@ -15,10 +15,11 @@ comes nearest to its target, so that small sources come near theirs as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.common import stage
+from lakemill.operators.ordering import before
 
 WEIGHTS = (5, 2, 1)
 SEEDS = 16
@@ -39,30 +40,37 @@ def _draws(doc_id: Column) -> list[Column]:
 
 
 def targets(sources: DataFrame, most: int = 3) -> DataFrame:
-    """(source, source_size) to that and target, rate. One row a source, and
-    one task orders them: sources are names, not data."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = sources.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most)
+    """(source, source_size), one row a source, to that and target, rate.
+
+    Sources may be as many as web domains: places and sums in their orders are
+    made by ranges, and what comes to the driver is one row."""
+    by_name = ("no_name", "source")
+    s = before(sources.withColumn("no_name", F.col("source").isNull()), by_name, F.lit(1), "place")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    s = s.select("source", "no_name", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
     # From the source that meets its cap first to the one that would last.
-    order = [(F.col("cap").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
-    done = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    left = Window.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(done), F.lit(0))).cast("double") / F.sum("weight").over(left))
-    s = s.withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    s = s.withColumn("level", F.min(F.when(F.col("open"), F.struct(F.col("cap").cast("double") / F.col("weight"), F.col("level")))).over(every)["level"])
-    target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")), F.col("cap").cast("double"))
-    return s.withColumn("target", target).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    s = stage(s.withColumn("fill", F.col("cap").cast("double") / F.col("weight")), "sources")
+    order = ("fill", *by_name)
+    lower = before(before(s, order, F.col("cap"), "caps"), order, F.col("weight"), "weights", "all_weights")
+    total = s.agg(F.sum("source_size")).first()[0]
+    level = (F.lit(total) - F.col("caps")).cast("double") / (F.col("all_weights") - F.col("weights"))
+    held = level * F.col("weight") <= F.col("cap")
+    # The first source below its cap sets the level of all that are.
+    first = lower.where(held).agg(F.min(F.struct("fill", level.alias("level"))).alias("x")).select("x.level").first()
+    cap = F.col("cap").cast("double")
+    target = F.least(F.lit(first.level) * F.col("weight"), cap) if first and first.level is not None else cap
+    return s.select("source", "source_size", target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3) -> DataFrame:
     """docs with size, source_size, target, copies (bigint) for each row.
 
-    Null text has size 0; null source is a source of its own, the last. Rows
-    that repeat get the same copies. Empty table: no rows. Clashing names: only
-    the three named columns are read; size, source_size, target and copies of
-    docs, if any, are replaced.
+    Null text has size 0, texts of any length count whole; null source is a
+    source of its own, the last. Of seeds that come equally near the first is
+    used. Rows with one id get the same draw, so rows without an id do, too:
+    rows that repeat get the same copies. Empty table: no rows. Clashing names:
+    only the three named columns are read; size, source_size, target and copies
+    of docs, if any, are replaced.
     """
     kept = docs.drop("size", "source_size", "target", "copies", "mix_source", "mix_rate", "mix_seed")
     sized = kept.withColumn("size", words(F.col(text_col)))
