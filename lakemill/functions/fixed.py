@@ -7,8 +7,11 @@ scale, so its result is a decimal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def hundredths(amount: Column) -> Column:
@@ -41,3 +44,28 @@ def bits(span: Column) -> Column:
 
 def yyyymmdd(day: Column) -> Column:
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int")
+
+
+#: Amounts whose plain column plan tables keep beside the hundredths, as
+#: `<name>_raw`, so that a filter on them can reach the file scan.
+FILTERED = ("l_quantity", "l_discount")
+
+
+def in_hundredths(columns: tuple[str, ...]) -> dict[str, Column]:
+    """The columns as whole hundredths, and the plain ones of FILTERED."""
+    return {c: hundredths(F.col(c)) for c in columns} | {f"{c}_raw": F.col(c) for c in FILTERED if c in columns}
+
+
+def within(df: DataFrame, column: str, lo: int | None, hi: int | None) -> DataFrame:
+    """The rows whose amount, in hundredths, is lo to hi; None leaves an end
+    open. The plain column, if it is there, is held to bounds that take in all
+    that rounds to these."""
+    bounds = [(lo, -1, Column.__ge__), (hi, 1, Column.__le__)]
+    for bound, side, compare in bounds:
+        if bound is None:
+            continue
+        df = df.where(compare(F.col(column), F.lit(bound)))
+        if f"{column}_raw" in df.columns:
+            exact = isinstance(df.schema[f"{column}_raw"].dataType, DecimalType)
+            df = df.where(compare(F.col(f"{column}_raw"), F.lit(Decimal(bound).scaleb(-2)) if exact else F.lit((bound + side * 0.6) / 100)))
+    return df

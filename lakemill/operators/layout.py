@@ -96,7 +96,9 @@ def zones(spark: SparkSession, label: str, source: str, make: Callable[[], DataF
     are written if they are not there for these files of `source`."""
     path = f"{shared_dir(spark)}/zones-{label}-{files}-{fingerprint(spark, source)}"
     if not exists(spark, f"{path}/map/_SUCCESS"):
-        split = split_evenly(make(), files, *keys).withColumnRenamed("file_no", "zone")
+        made = make()
+        own = made.select(*[c for c in made.columns if not c.endswith("_raw")])
+        split = split_evenly(own, files, *keys).withColumnRenamed("file_no", "zone")
         split.repartition(files, "zone").sortWithinPartitions("zone", *keys).write.mode("overwrite").option("parquet.block.size", row_group).partitionBy("zone").parquet(f"{path}/data")
         stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
         written = spark.read.parquet(f"{path}/data").groupBy(F.col("zone").cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_rows"), *stats)

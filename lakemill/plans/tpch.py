@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.functions.fixed import exact_sum, scaled
+from lakemill.functions.fixed import exact_sum, scaled, within
 from lakemill.functions.text import like_ordered
 from lakemill.operators.layout import prune_sideways
 
@@ -83,8 +83,8 @@ def q5(t: Tables, region: str = "ASIA", since: date = date(1994, 1, 1), until: d
 def _q6_filters(df: DataFrame, since: date, until: date, discount: tuple[int, int] | None, below: int | None) -> DataFrame:
     df = df.where((F.col("l_shipdate") >= F.lit(since)) & (F.col("l_shipdate") < F.lit(until)))
     if discount:
-        df = df.where(F.col("l_discount").between(*discount))
-    return df.where(F.col("l_quantity") < below * 100) if below else df
+        df = within(df, "l_discount", *discount)
+    return within(df, "l_quantity", None, below * 100 - 1) if below else df
 
 
 def _yield() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lakemill.functions.fixed import hundredths
+from lakemill.functions.fixed import in_hundredths
 from lakemill.sources.schemas import SSB, TPCH
 
 
@@ -50,7 +50,7 @@ def plan_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Declared TPC-H tables to the columns that the plans read: amounts as
     whole hundredths."""
     out = dict(tables)
-    out["lineitem"] = tables["lineitem"].withColumns({c: hundredths(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")})
+    out["lineitem"] = tables["lineitem"].withColumns(in_hundredths(("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
     return out
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.functions.fixed import hundredths, yyyymmdd
+from lakemill.functions.fixed import hundredths, in_hundredths, yyyymmdd
 
 SHIFT_DAYS = 1096
 #: TPC-H regions and their nations, type words.
@@ -74,7 +74,7 @@ def tpch(spark: SparkSession, sf_dir: str, idle_customers: bool = False) -> Tabl
     read = lambda name: raw(spark, sf_dir, name)
     b = lambda: _brand_number(F.col("p_brand"))
     return Tables({
-        "lineitem": lambda: read("lineitem").withColumns({c: hundredths(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {"l_shipdate": _shift(F.col("l_shipdate"))}),
+        "lineitem": lambda: read("lineitem").withColumns(in_hundredths(("l_quantity", "l_extendedprice", "l_discount", "l_tax")) | {"l_shipdate": _shift(F.col("l_shipdate"))}),
         "orders": lambda: (read("orders").where(F.col("o_custkey") % 3 != 0) if idle_customers else read("orders")).withColumns({
             "o_orderdate": _shift(F.col("o_orderdate")),
             "o_shippriority": F.lit(0),

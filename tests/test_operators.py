@@ -147,9 +147,11 @@ def test_not_in_and_outer_count(spark):
 
 
 def test_plans_push_down_and_prune(t):
-    plan = tpch.q6(t)._jdf.queryExecution().executedPlan().toString()
+    plan = tpch.q6(t)._jdf.queryExecution().explainString(t["lineitem"].sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     read = plan.split("ReadSchema: ")[1]
     assert "l_comment" not in read and "l_tax" not in read and "l_extendedprice" in read
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert all(f"{c}(l_{x}" in pushed for c, x in (("GreaterThanOrEqual", "discount,0.044"), ("LessThanOrEqual", "discount,0.076"), ("LessThanOrEqual", "quantity,23.996"))), pushed
 
 
 def test_verify():
