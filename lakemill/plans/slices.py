@@ -225,37 +225,26 @@ def layout_split_orders(spark, d):
     return files.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_rows"), F.min("r_name").alias("min_r_name"), F.max("r_name").alias("max_r_name"), F.min("c_mktsegment").alias("min_c_mktsegment"), F.max("c_mktsegment").alias("max_c_mktsegment"))
 
 
-def _sideways(df: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
-    files = layout.split_evenly(df, FILES, *keys)
-    stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return files.groupBy(F.col("file_no").cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_rows"), *stats)
-
-
 def sideways_prune_q3(spark, d):
     """Files of sorted lines that Q3's segment and two dates leave."""
-    zones = _sideways(layout.wide_lineitem(_t(spark, d)), layout.LINEITEM_KEYS[:3], "c_mktsegment", "o_orderdate", "l_shipdate")
+    zones = _zoned_wide(spark, d).zonemap
     return zonemap.evaluate(zones, point("c_mktsegment", "BUILDING"), Between("o_orderdate", None, D315, True), Between("l_shipdate", D315)).select("chunk_id", "n_rows", "active")
 
 
 def sideways_prune_q5(spark, d):
-    zones = _sideways(layout.wide_lineitem(_t(spark, d)), layout.LINEITEM_KEYS[:3], "r_name", "o_orderdate")
-    return zonemap.evaluate(zones, point("r_name", "ASIA"), Between("o_orderdate", D94, D95, True)).select("chunk_id", "n_rows", "active")
-
-
-def _ssb_zones(spark, d, *columns):
-    return _sideways(layout.wide_lineorder(fixture.ssb(spark, d)), layout.LINEORDER_KEYS[:4], *columns)
+    return zonemap.evaluate(_zoned_wide(spark, d).zonemap, point("r_name", "ASIA"), Between("o_orderdate", D94, D95, True)).select("chunk_id", "n_rows", "active")
 
 
 def sideways_prune_ssb_q2(spark, d):
-    return zonemap.evaluate(_ssb_zones(spark, d, "s_region", "p_category"), point("s_region", "AMERICA"), point("p_category", "MFGR#12")).select("chunk_id", "n_rows", "active")
+    return zonemap.evaluate(_zoned_ssb(spark, d).zonemap, point("s_region", "AMERICA"), point("p_category", "MFGR#12")).select("chunk_id", "n_rows", "active")
 
 
 def sideways_prune_ssb_q3(spark, d):
-    return zonemap.evaluate(_ssb_zones(spark, d, "s_region", "c_region"), point("s_region", "ASIA"), point("c_region", "ASIA")).select("chunk_id", "n_rows", "active")
+    return zonemap.evaluate(_zoned_ssb(spark, d).zonemap, point("s_region", "ASIA"), point("c_region", "ASIA")).select("chunk_id", "n_rows", "active")
 
 
 def sideways_prune_ssb_q4(spark, d):
-    return zonemap.evaluate(_ssb_zones(spark, d, "s_region", "c_region", "p_mfgr"), point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2")).select("chunk_id", "n_rows", "active")
+    return zonemap.evaluate(_zoned_ssb(spark, d).zonemap, point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2")).select("chunk_id", "n_rows", "active")
 
 
 def _zoned_wide(spark, d):
@@ -274,22 +263,29 @@ def sideways_tpch_q5(spark, d):
     return tpch.q5(_t(spark, d) | {"lineitem": lines})
 
 
-def _zoned_ssb(spark, d, name, *predicates):
-    t = fixture.ssb(spark, d)
-    zoned = layout.zones(spark, "wide-lineorder", d, lambda: layout.wide_lineorder(t), FILES, layout.LINEORDER_KEYS[:4], "s_region", "c_region", "p_mfgr", "p_category")
-    return ssb.plans()[name](t | {"lineorder": zoned.scan(*predicates)})
+def _zoned_ssb(spark, d):
+    """Denormalised lineorder in files sorted by regions and makers."""
+    return layout.zones(spark, "wide-lineorder", d, lambda: layout.wide_lineorder(fixture.ssb(spark, d)), FILES, layout.LINEORDER_KEYS[:4], "s_region", "c_region", "p_mfgr", "p_category")
+
+
+def _pruned_ssb(spark, d, name, *predicates):
+    return ssb.plans()[name](fixture.ssb(spark, d) | {"lineorder": _zoned_ssb(spark, d).scan(*predicates)})
 
 
 def sideways_ssb_q21(spark, d):
-    return _zoned_ssb(spark, d, "ssb_q21", point("s_region", "AMERICA"), point("p_category", "MFGR#12"))
+    return _pruned_ssb(spark, d, "ssb_q21", point("s_region", "AMERICA"), point("p_category", "MFGR#12"))
 
 
 def sideways_ssb_q31(spark, d):
-    return _zoned_ssb(spark, d, "ssb_q31", point("s_region", "ASIA"), point("c_region", "ASIA"))
+    return _pruned_ssb(spark, d, "ssb_q31", point("s_region", "ASIA"), point("c_region", "ASIA"))
 
 
 def sideways_ssb_q42(spark, d):
-    return _zoned_ssb(spark, d, "ssb_q42", point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2"))
+    return _pruned_ssb(spark, d, "ssb_q42", point("s_region", "AMERICA"), point("c_region", "AMERICA"), Between("p_mfgr", "MFGR#1", "MFGR#2"))
+
+
+def op_sequential_ids(spark, d):
+    return relational.sampled_ids(_raw(spark, d, "region"), 3, 11, 20, random=False).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def op_random_ids(spark, d):
@@ -325,10 +321,6 @@ def codec_choice(spark, d):
     return spark.createDataFrame(rows, "table_name string, column_name string, chosen boolean")
 
 
-def op_sequential_ids(spark, d):
-    return relational.sampled_ids(_raw(spark, d, "region"), 3, 11, 20, random=False).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def encoding_bit_packing(spark, d):
     return encoding.bit_packing(_raw(spark, d, "orders"), "o_orderkey", "o_custkey")
 
