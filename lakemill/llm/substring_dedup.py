@@ -14,8 +14,7 @@ window over it has the same words as a window of a document with a smaller id.
    summed in the same way: each window of two documents is a passage.
 3. Owners emit the words of their passages. Passages are dealt to shards by
    owner, so that the passages of one source text are together, and each shard's
-   are compiled into Aho-Corasick automata of about `automaton_signs` signs, one
-   sign a word.
+   are compiled into Aho-Corasick automata of about `automaton_signs` words.
 4. All documents that share a passage with a smaller one are streamed through
    the automata of those owners' shards, which locate every occurrence; nothing
    else tells where a passage stands. What an occurrence of a smaller owner's
@@ -30,6 +29,7 @@ that very many documents need is dealt to several tasks, each with its automata.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -206,11 +206,11 @@ class Automata:
         signs = _signs(known, words)
         least: dict[str, int] = {}
         for k, who in enumerate(owner):
-            passage = signs[first[k] : first[k + 1]]
+            passage = signs[2 * first[k] : 2 * first[k + 1]]
             least[passage] = min(who, least.get(passage, who))
         automaton = ahocorasick.Automaton()
         for passage, who in least.items():
-            automaton.add_word(passage, (len(passage), who))
+            automaton.add_word(passage, (len(passage) // 2, who))
         automaton.make_automaton()
         return known, automaton
 
@@ -218,15 +218,21 @@ class Automata:
         """(start, end, owner) of every occurrence in a run of word hashes."""
         for known, automaton in self.parts:
             for last, (n, who) in automaton.iter(_signs(known, words)):
-                yield last - n + 1, last + 1, who
+                yield last // 2 - n + 1, last // 2 + 1, who
 
 
 def _signs(known: np.ndarray, words: np.ndarray) -> str:
-    """One character a word: its place among the known ones, 0 for any other."""
+    """Two characters a word, the digits of its place among the known ones, or
+    two zeros. A node's children are searched one by one, so a sign for each
+    word would make the root slow; first and second digits differ, so that an
+    occurrence begins with a word."""
+    base = isqrt(len(known)) + 1
     at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    code = np.where(known[at] == words, at + 1, 0)
-    code += 0x800 * (code >= 0xD800)  # surrogates are no characters
-    return code.astype("<u4").tobytes().decode("utf-32-le")
+    found = known[at] == words
+    out = np.zeros((len(words), 2), dtype="<u4")
+    out[found, 0] = 1 + at[found] // base
+    out[found, 1] = 1 + base + at[found] % base
+    return out.tobytes().decode("utf-32-le")
 
 
 def _locate(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
