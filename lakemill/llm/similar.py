@@ -13,16 +13,19 @@ never the result.
 
 A large group of copies must not cost all its pairs. First every document is
 compared with one other, the one that is the least of most of its keys, and
-keys whose documents are then all in one component are left. In the keys that
-remain, pairs of different components are candidates if the places of their
-shared shingle and the parity bits of their sets allow a similarity of 0.8,
-which the join itself checks: a bit is the parity of the shingles that hash to
-it, so two sets differ in at least as many shingles as their bits differ in. In
-ROUNDS rounds a document is compared with its least candidate, and at last with
-all that are still in other components.
+keys whose documents are then all in one component are left. The keys that
+remain are buckets: in each, the wide SimHashes of its documents are compared as
+bit planes (see `wide`), across components only. Pairs within the radius are
+candidates if the places of their shared shingle allow a similarity of 0.8 and
+the parity bits of their sets, as many as a set has shingles, do so too. A
+bucket of over CHUNK documents is cut into chunks, and each pair of chunks is
+one unit of work. In ROUNDS rounds a document is compared with its nearest
+candidate within a small radius, and at last with all that are still in other
+components by the radius that holds every pair of 0.8.
 What is left is compared in full, text with text: texts compress, and lists of
 hashes do not, so the texts are what is shuffled.
-Shingles are compared by 64-bit hashes, equal sets by 128 bits.
+Shingles are compared by 64-bit hashes, equal sets by 128 bits. A SimHash loses
+a pair with a chance below 1e-15 (see `wide`); all other steps are exact.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.llm import wide
 from lakemill.llm.common import discard, in_batches, stage
 from lakemill.llm.components import components
 from lakemill.llm.textops import Piece, mix, pieces, window_hashes, window_ok
@@ -44,9 +48,15 @@ SAMPLE = 10_000
 FREQUENT = 2
 MOST_FREQUENT = 500_000
 #: Rounds in which a document is compared with one candidate only.
-ROUNDS = 3
-#: Longs of a set's bits, which tell of most pairs that they differ too much.
-BITS = 16
+ROUNDS = 2
+#: Bits in which pairs differ at most that these rounds take: some 78 at a
+#: similarity of 0.8. The last comparison takes wide.RADIUS, so this decides how
+#: soon documents are of one component, never the result.
+SOON = 100
+#: Documents of a key that one task may hold.
+CHUNK = 4096
+#: Bytes of parity bits up to which they are at hand where SimHashes are compared.
+SHORT = 64
 #: Rows of 8 bytes that every executor may hold.
 BROADCAST = 2_000_000
 
@@ -72,6 +82,18 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Byte strings, the k-th from at[k] to at[k + 1]."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of byte strings, none null, and where each begins and the last ends."""
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) to (row, key), one row for each distinct shingle."""
     for batch in batches:
@@ -82,7 +104,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(row, id, text) to (row, id, n, set, bits, keys); frequent: most frequent last."""
+    """(row, id, text) to (row, id, n, set, print, bits, keys); frequent: most frequent last."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
     for batch in batches:
@@ -90,11 +112,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
             row, hashes = _shingles(piece)
             n = np.bincount(row, minlength=piece.hi - piece.lo)
             total = np.zeros((2, len(n)), dtype=np.uint64)
-            np.add.at(total[0], row, mix(hashes))
-            np.add.at(total[1], row, mix(hashes * np.uint64(3) + np.uint64(0x9E3779B97F4A7C15)))
-            odd = np.zeros((len(n), 64 * BITS), dtype=np.uint8)
-            np.add.at(odd, (row, (mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % (64 * BITS)), 1)
-            bits = np.packbits(odd & 1, axis=1).view(np.int64).ravel()
+            begin = (np.cumsum(n) - n)[n > 0]
+            for t, h in enumerate((hashes, hashes * np.uint64(3) + np.uint64(0x9E3779B97F4A7C15))):
+                if len(begin):
+                    total[t, n > 0] = np.add.reduceat(mix(h), begin)
+            prints = wide.fingerprints(hashes, n)
+            bits = wide.parities(hashes, n)
             rank = np.zeros(len(hashes), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -104,8 +127,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
             length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             keys = hashes[order][place < length[row]]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(piece.lo, piece.hi - piece.lo) for c in (0, 1)), pa.array(n, pa.int64()), *(pa.array(t.view(np.int64)) for t in total), _lists(bits, np.full(len(n), BITS)), _lists(keys, length)],
-                names=["row", "id", "n", "set0", "set1", "bits", "keys"],
+                [*(batch.column(c).slice(piece.lo, piece.hi - piece.lo) for c in (0, 1)), pa.array(n, pa.int64()), *(pa.array(t.view(np.int64)) for t in total), _blobs(prints.ravel(), np.arange(len(n) + 1) * prints.shape[1]), _blobs(*bits), _lists(keys, length)],
+                names=["row", "id", "n", "set0", "set1", "print", "bits", "keys"],
             )
 
 
@@ -157,25 +180,93 @@ def semi(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, on, "left_semi")
 
 
-def _differ(u: str, v: str) -> Column:
-    """In how many shingles two sets differ at least, by their parity bits."""
-    return sum(F.bit_count(F.col(f"{u}_bits")[k].bitwiseXOR(F.col(f"{v}_bits")[k])) for k in range(BITS))
+def _may(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether sets that share a key, of these sizes and places, can have a
+    similarity of 0.8: of the smaller places and rests all may be common."""
+    (n, place), (m, other) = ((x >> 32, x & 0xFFFFFFFF) for x in (u, v))
+    most = np.minimum(place, other) + 1 + np.minimum(n - 1 - place, m - 1 - other)
+    return 9 * most >= 4 * (n + m)
 
 
-def _may(u: str, v: str) -> Column:
-    """Whether the sets of u and v, which share a key at their places, can have
-    a similarity of 0.8: of the smaller places and rests all may be common, and
-    at most a ninth of both sets differs."""
-    n = lambda c: F.shiftright(F.col(f"{c}_size"), 32)
-    place = lambda c: F.col(f"{c}_size").bitwiseAND(F.lit(0xFFFFFFFF))
-    most = F.least(place(u), place(v)) + 1 + F.least(n(u) - 1 - place(u), n(v) - 1 - place(v))
-    return (9 * most >= 4 * (n(u) + n(v))) & (9 * _differ(u, v) <= n(u) + n(v))
+def _close(u: np.ndarray, v: np.ndarray, u_bits: tuple[np.ndarray, ...], v_bits: tuple[np.ndarray, ...], data: np.ndarray) -> np.ndarray:
+    """Whether parity bits allow a similarity of 0.8, that is, that at most a
+    ninth of sets of these sizes differs, or one of them has no bits."""
+    out = np.ones(len(u), dtype=bool)
+    known = np.flatnonzero((u_bits[1] > 0) & (v_bits[1] > 0))
+    far = wide.differ((data, *(x[known] for x in u_bits)), (data, *(x[known] for x in v_bits)))
+    out[known] = 9 * far <= (u[known] >> 32) + (v[known] >> 32)
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Batches (key, part, row, size, root, print, bits) sorted by key and part to
+    (u, v, far): the pairs u > v of a unit that have different roots and whose
+    SimHashes differ in far bits, within the radius; not those that parity bits,
+    where both have any here, tell to be less than 0.8 alike. nearest: for each u, as many
+    times as batches ask, only the nearest v, greater or less."""
+    rest: pa.Table | None = None
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, part, row, size, root = (t.column(c).to_numpy() for c in ("key", "part", "row", "size", "root"))
+        group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        prints = _bytes(t.column("print").chunk(0))[0].reshape(len(t), -1)
+        data, at = _bytes(t.column("bits").chunk(0))
+        bits = at[:-1], np.diff(at)
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        for i, j, far in wide.pairs(prints, group, root, radius):
+            may = _may(size[i], size[j])
+            may[may] = _close(size[i[may]], size[j[may]], tuple(x[i[may]] for x in bits), tuple(x[j[may]] for x in bits), data)
+            i, j, far = row[i[may]], row[j[may]], far[may]
+            found.append(np.stack([np.maximum(i, j), far, np.minimum(i, j)]))
+            if nearest:
+                found.append(found[-1][[2, 1, 0]])
+        u, far, v = np.concatenate(found, axis=1)
+        order = np.lexsort((v, far, u))
+        u, far, v = u[order], far[order], v[order]
+        new = np.r_[True, (u[1:] != u[:-1]) | (not nearest) & (v[1:] != v[:-1])][: len(u)]
+        u, far, v = u[new], far[new], v[new]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, far)], names=["u", "v", "far"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not len(t):
+            continue
+        key, part = (t.column(c).to_numpy() for c in ("key", "part"))
+        last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield work(t.slice(0, cut))
+        rest = t.slice(cut)
+    if rest is not None and len(rest):
+        yield work(rest)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, v, u_n, v_n, u_bits, v_bits) those (u, v) whose parity bits
+    allow a similarity of 0.8: at most a ninth of both sets differs."""
+    for batch in batches:
+        if batch.num_rows:
+            n, m = (batch.column(c).to_numpy() for c in (2, 3))
+            close = np.flatnonzero(4 * np.maximum(n, m) <= 5 * np.minimum(n, m))
+            part = batch.take(pa.array(close))
+            bits = [(data, at[:-1], np.diff(at)) for data, at in (_bytes(part.column(c)) for c in (4, 5))]
+            far = wide.differ(*bits)
+            near = pa.array(np.flatnonzero(9 * far <= (n + m)[close]))
+            yield pa.RecordBatch.from_arrays([part.column(c).take(near) for c in (0, 1)], names=["u", "v"])
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v) those whose parity bits allow a similarity of 0.8."""
-    side = lambda c: sets.select(F.col("row").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
-    return stage(pairs.join(side("u"), "u").join(side("v"), "v").where(9 * _differ("u", "v") <= F.col("u_n") + F.col("v_n")).select("u", "v"), "pairs")
+    pairs = stage(pairs, "met")
+    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "wanted")
+    own = semi(sets, wanted, "row")
+    side = lambda c: own.select(F.col("row").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_n", "v_n", "u_bits", "v_bits")
+    out = stage(both.mapInArrow(_alike, "u long, v long"), "pairs")
+    discard(pairs, wanted)
+    return out
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,13 +313,14 @@ def groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str
     """
     texts = in_batches(docs).select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most MOST_FREQUENT longs
-    marked = stage(texts.mapInArrow(lambda it: _prefixes(it, frequent.value), "row long, id long, n long, set0 long, set1 long, bits array<long>, keys array<long>"), "prefixes")
+    marked = stage(texts.mapInArrow(lambda it: _prefixes(it, frequent.value), "row long, id long, n long, set0 long, set1 long, print binary, bits binary, keys array<long>"), "prefixes")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("x")
     distinct = stage(marked.groupBy("n", "set0", "set1").agg(least).select("x.row", "x.id"), "distinct")
     each = semi(marked, distinct.select("row"), "row").select("row", "n", F.posexplode("keys").alias("place", "key"))
     each = each.select("key", "row", _size(F.col("n"), F.col("place")).alias("size")).repartition("key").sortWithinPartitions("key", "row")
     hits = stage(each.mapInArrow(_shared, "key long, row long, size long, least long, least_size long"), "hits")
     sets = marked.select("row", "n", "bits")
+    prints = marked.select("row", "print", F.when(F.length("bits") <= SHORT, F.col("bits")).otherwise(F.lit(b"")).alias("bits"))
 
     # The first round: the least row of a key is that of its least component.
     near = [_linked(_near(_favourite(hits.where("least < row").select("row", F.col("least").alias("v"))), sets), texts)]
@@ -237,11 +329,12 @@ def groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str
     discard(hits)
     every = near[0]
     for k in range(ROUNDS + 1):
-        with_bits = of.join(sets, "row")
-        u, v = (with_bits.select("key", F.col("row").alias(c), F.col("size").alias(f"{c}_size"), F.col("root").alias(f"{c}_root"), F.col("bits").alias(f"{c}_bits")) for c in "uv")
-        met = u.join(v, "key").where((F.col("u") > F.col("v")) & (F.col("u_root") != F.col("v_root")) & _may("u", "v"))
-        pairs = met.groupBy("u").agg(F.min("v").alias("v")) if k < ROUNDS else met.select("u", "v").distinct()
-        near.append(_linked(stage(pairs, "pairs"), texts))
+        units = _units(of.join(prints, "row")).repartition("key", "part").sortWithinPartitions("key", "part")
+        pairs = units.mapInArrow(lambda it, radius=SOON if k < ROUNDS else wide.RADIUS, nearest=k < ROUNDS: _met(it, radius, nearest), "u long, v long, far long")
+        if k < ROUNDS:
+            pairs = pairs.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        near.append(_linked(_near(pairs, sets), texts))
         every = every.unionAll(near[-1])
         if k < ROUNDS:
             roots = _replaced(roots, components(every))
@@ -263,7 +356,19 @@ def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _apart(hits: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, row, size, root) of the keys whose rows are of several components."""
+    """(key, row, size, root, rows) of the keys whose rows are of several
+    components; rows: how many the key has."""
     of = hits.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
-    apart = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    return stage(of.join(apart, "key", "left_semi"), "apart")
+    apart = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows")).where("r0 < r1").select("key", "rows")
+    return stage(of.join(apart, "key"), "apart")
+
+
+def _units(of: DataFrame) -> DataFrame:
+    """(key, part, row, size, root, print, bits): a key of up to CHUNK rows is one part.
+    A larger one is cut into chunks; part (i, j) is i * chunks + j, i < j, and a
+    chunk is in each part with another one."""
+    chunks = F.ceil(F.col("rows") / (CHUNK // 2)).cast("long")
+    own = F.pmod(F.xxhash64("row", F.lit(11)), chunks)
+    other = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: j != own), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
+    parts = F.when(F.col("rows") <= CHUNK, F.array(F.lit(0).cast("long"))).otherwise(other)
+    return of.select("key", F.explode(parts).alias("part"), "row", "size", "root", "print", "bits")
