@@ -13,16 +13,20 @@ never the result.
 
 A large group of copies must not cost all its pairs. First every document is
 compared with one other, the one that is the least of most of its keys, and
-keys whose documents are then all in one component are left. The keys that
-remain are buckets: in each, the wide SimHashes of its documents are compared as
-bit planes (see `wide`), across components only. Pairs within the radius are
-candidates if the places of their shared shingle allow a similarity of 0.8 and
-the parity bits of their sets, as many as a set has shingles, do so too. A
-bucket of over CHUNK documents is cut into chunks, and each pair of chunks is
-one unit of work. In ROUNDS rounds a document is compared with its nearest
-candidate within a small radius, and at last with all that are still in other
-components by the radius that holds every pair of 0.8.
-What is left is compared in full, text with text: texts compress, and lists of
+keys whose documents are then all in one component are left; of keys that have
+the very same documents one stays. The keys that remain are buckets: in each,
+the wide SimHashes of its documents are compared as bit planes (see `wide`),
+across components only. Pairs within the radius are candidates if the places of
+their shared shingle allow a similarity of 0.8 and short parity bits of their
+sets do so too. No candidate pair leaves a bucket: a document leaves it with one
+link at most, to the least of those that candidates tie it to. The components of
+these links are clusters, and every pair that is alike lies within one. A
+cluster's texts come together once and are compared there, nearest pairs first,
+and pairs of documents that are joined by then no more; what leaves it is one
+link at most for each component that it joins. A bucket of over CHUNK documents,
+or a cluster of over CHUNK documents or 2 * HELD shingles, is cut into chunks,
+and each pair of chunks is one unit of work.
+Documents are compared in full, text with text: texts compress, and lists of
 hashes do not, so the texts are what is shuffled.
 Shingles are compared by 64-bit hashes, equal sets by 128 bits. A SimHash loses
 a pair with a chance below 1e-15 (see `wide`); all other steps are exact.
@@ -30,7 +34,7 @@ a pair with a chance below 1e-15 (see `wide`); all other steps are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import wide
 from lakemill.llm.common import discard, in_batches, stage
-from lakemill.llm.components import components
+from lakemill.llm.components import components, join
 from lakemill.llm.textops import Piece, mix, pieces, window_hashes, window_ok
 
 SHINGLE = 5
@@ -47,20 +51,25 @@ SHINGLE = 5
 SAMPLE = 10_000
 FREQUENT = 2
 MOST_FREQUENT = 500_000
-#: Rounds in which a document is compared with one candidate only.
-ROUNDS = 2
-#: Bits in which pairs differ at most that these rounds take: some 78 at a
-#: similarity of 0.8. The last comparison takes wide.RADIUS, so this decides how
-#: soon documents are of one component, never the result.
-SOON = 100
-#: Documents of a key that one task may hold.
+#: Documents of a key or a cluster that one task may hold.
 CHUNK = 4096
+#: Shingles of a chunk of a cluster, and of pairs that are compared at once.
+HELD = 1_000_000
+AT_ONCE = 250_000
 #: Bytes of parity bits up to which they are at hand where SimHashes are compared.
 SHORT = 64
+#: Bytes of texts that a Python worker gets at once, and that it cuts into words
+#: at once: a hash takes 128 bytes while it is made a SimHash.
+BATCH = 4 << 20
+PIECE = 512 << 10
 #: Rows of 8 bytes that every executor may hold.
 BROADCAST = 2_000_000
 
 
+def _pieces(column: pa.Array) -> Iterator[Piece]:
+    return pieces(column, limit=PIECE, lower=True)
+
+
 def _shingles(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each row: (row, hash), sorted by both."""
     words, n_words = piece.word_hashes(), piece.n_words
@@ -98,7 +107,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) to (row, key), one row for each distinct shingle."""
     for batch in batches:
         rows = batch.column(0).to_numpy()
-        for piece in pieces(batch.column(1), lower=True):
+        for piece in _pieces(batch.column(1)):
             row, hashes = _shingles(piece)
             yield pa.RecordBatch.from_arrays([pa.array(rows[piece.lo + row]), pa.array(hashes.view(np.int64))], names=["row", "key"])
 
@@ -108,7 +117,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterat
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
     for batch in batches:
-        for piece in pieces(batch.column(2), lower=True):
+        for piece in _pieces(batch.column(2)):
             row, hashes = _shingles(piece)
             n = np.bincount(row, minlength=piece.hi - piece.lo)
             total = np.zeros((2, len(n)), dtype=np.uint64)
@@ -198,49 +207,64 @@ def _close(u: np.ndarray, v: np.ndarray, u_bits: tuple[np.ndarray, ...], v_bits:
     return out
 
 
-def _met(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Batches (key, part, row, size, root, print, bits) sorted by key and part to
-    (u, v, far): the pairs u > v of a unit that have different roots and whose
-    SimHashes differ in far bits, within the radius; not those that parity bits,
-    where both have any here, tell to be less than 0.8 alike. nearest: for each u, as many
-    times as batches ask, only the nearest v, greater or less."""
+def _by_unit(batches: Iterator[pa.RecordBatch], names: tuple[str, str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work(rows, unit) for whole units of batches sorted by the named columns;
+    unit numbers the rows' units from 0 on."""
     rest: pa.Table | None = None
 
-    def work(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        key, part, row, size, root = (t.column(c).to_numpy() for c in ("key", "part", "row", "size", "root"))
-        group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        prints = _bytes(t.column("print").chunk(0))[0].reshape(len(t), -1)
-        data, at = _bytes(t.column("bits").chunk(0))
-        bits = at[:-1], np.diff(at)
-        found = [np.zeros((3, 0), dtype=np.int64)]
-        for i, j, far in wide.pairs(prints, group, root, radius):
-            may = _may(size[i], size[j])
-            may[may] = _close(size[i[may]], size[j[may]], tuple(x[i[may]] for x in bits), tuple(x[j[may]] for x in bits), data)
-            i, j, far = row[i[may]], row[j[may]], far[may]
-            found.append(np.stack([np.maximum(i, j), far, np.minimum(i, j)]))
-            if nearest:
-                found.append(found[-1][[2, 1, 0]])
-        u, far, v = np.concatenate(found, axis=1)
-        order = np.lexsort((v, far, u))
-        u, far, v = u[order], far[order], v[order]
-        new = np.r_[True, (u[1:] != u[:-1]) | (not nearest) & (v[1:] != v[:-1])][: len(u)]
-        u, far, v = u[new], far[new], v[new]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, far)], names=["u", "v", "far"])
+    def new(t: pa.Table) -> np.ndarray:
+        a, b = (t.column(c).to_numpy() for c in names)
+        return np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not len(t):
-            continue
-        key, part = (t.column(c).to_numpy() for c in ("key", "part"))
-        last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
+        first = new(t)
+        cut = int(np.flatnonzero(first)[-1])
         if cut:
-            yield work(t.slice(0, cut))
+            yield work(t.slice(0, cut).combine_chunks(), np.cumsum(first[:cut]) - 1)
         rest = t.slice(cut)
-    if rest is not None and len(rest):
-        yield work(rest)
+    if rest is not None:
+        yield work(rest.combine_chunks(), np.zeros(len(rest), dtype=np.int64))
+
+
+def _tops(tree: np.ndarray, at: np.ndarray) -> np.ndarray:
+    while True:
+        up = tree[at]
+        if (up == at).all():
+            return at
+        at = up
+
+
+def _links(rows: np.ndarray, tree: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """(u, v): for each of the nodes that is not the top of its tree, both rows."""
+    top = _tops(tree, nodes)
+    low = top != nodes
+    return pa.RecordBatch.from_arrays([pa.array(rows[nodes[low]]), pa.array(rows[top[low]])], names=["u", "v"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, part, row, size, root, print, bits) sorted by key and part to
+    (u, v): for each row of a unit one link at most, to the least that candidates
+    tie it to. Candidates have different roots, SimHashes within the radius, and
+    sizes, places and parity bits, where both have any here, that allow a
+    similarity of 0.8."""
+
+    def work(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch:
+        row, size, root = (t.column(c).to_numpy() for c in ("row", "size", "root"))
+        prints = _bytes(t.column("print").chunk(0))[0].reshape(len(t), -1)
+        data, at = _bytes(t.column("bits").chunk(0))
+        bits = at[:-1], np.diff(at)
+        tree = np.arange(len(t))
+        for i, j, _ in wide.pairs(prints, unit, root):
+            may = _may(size[i], size[j])
+            may[may] = _close(size[i[may]], size[j[may]], tuple(x[i[may]] for x in bits), tuple(x[j[may]] for x in bits), data)
+            join(tree, i[may], j[may])
+        return _links(row, tree, np.arange(len(t)))
+
+    return _by_unit(batches, ("key", "part"), work)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +293,16 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def _common(sets: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """For each of n pairs of sets how many members both have; sets: of the first
+    and of the second sets (pair, member)."""
+    both = np.concatenate([hashes ^ mix(pair.astype(np.uint64) + np.uint64(1)) for pair, hashes in sets])
+    pair = np.concatenate([pair for pair, _ in sets])
+    order = np.argsort(both, kind="stable")
+    twice = order[1:][both[order][1:] == both[order][:-1]]
+    return np.bincount(pair[twice], minlength=n)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (u, v, s, t), s and t the texts of u and v, those (u, v) with a
     similarity of at least 0.8."""
@@ -277,17 +311,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             # The same rows of both columns: as many as a piece of either holds.
             rest = batch.slice(at)
-            first = [next(pieces(rest.column(c), lower=True)) for c in (2, 3)]
+            first = [next(_pieces(rest.column(c))) for c in (2, 3)]
             n = min(p.hi for p in first)
             part = rest.slice(0, n)
-            sets = [_shingles(p if p.hi == n else next(pieces(part.column(c), lower=True))) for c, p in zip((2, 3), first)]
+            sets = [_shingles(p if p.hi == n else next(_pieces(part.column(c)))) for c, p in zip((2, 3), first)]
             size = [np.bincount(row, minlength=n) for row, _ in sets]
-            both = np.concatenate([hashes ^ mix(row.astype(np.uint64) + np.uint64(1)) for row, hashes in sets])
-            row = np.concatenate([row for row, _ in sets])
-            order = np.argsort(both, kind="stable")
-            twice = order[1:][both[order][1:] == both[order][:-1]]
-            common = np.bincount(row[twice], minlength=n)
-            near = np.flatnonzero(9 * common >= 4 * (size[0] + size[1]))
+            near = np.flatnonzero(9 * _common(sets, n) >= 4 * (size[0] + size[1]))
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(near)) for c in (0, 1)], names=["u", "v"])
             at += n
 
@@ -303,6 +332,77 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _similar(i: np.ndarray, j: np.ndarray, hashes: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets i[k] and j[k] have a similarity of at least 0.8; set x has
+    the n[x] hashes from begin[x] on."""
+    out = np.zeros(len(i), dtype=bool)
+    each = np.cumsum(n[i] + n[j])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(each, (each[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        sets = []
+        for x in (i[lo:hi], j[lo:hi]):
+            pair = np.repeat(np.arange(hi - lo), n[x])
+            sets.append((pair, hashes[np.arange(len(pair)) + np.repeat(begin[x] - np.cumsum(n[x]) + n[x], n[x])]))
+        out[lo:hi] = 9 * _common(sets, hi - lo) >= 4 * (n[i[lo:hi]] + n[j[lo:hi]])
+        lo = hi
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (cluster, part, row, root, text) sorted by cluster and part to
+    (u, v): links that join the components of a unit's rows that have a similarity
+    of at least 0.8, one at most for each root in a unit."""
+
+    def work(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch:
+        row, root = (t.column(c).to_numpy() for c in ("row", "root"))
+        parts = []
+        for piece in _pieces(t.column("text").chunk(0)):
+            own, hashes = _shingles(piece)
+            n = np.bincount(own, minlength=piece.hi - piece.lo)
+            parts.append((hashes, n, wide.fingerprints(hashes, n), *wide.parities(hashes, n)))
+        hashes, n, prints, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        begin = np.cumsum(n) - n
+        length = np.concatenate([np.diff(p[4]) for p in parts])
+        at = np.cumsum(length) - length
+        _, first, own = np.unique(np.stack([unit, root]), axis=1, return_index=True, return_inverse=True)
+        tree = first[own.ravel()]
+        for i, j, far in wide.pairs(prints, unit, tree.copy()):
+            may = 4 * np.maximum(n[i], n[j]) <= 5 * np.minimum(n[i], n[j])
+            i, j, far = i[may], j[may], far[may]
+            may = 9 * wide.differ((data, at[i], length[i]), (data, at[j], length[j])) <= n[i] + n[j]
+            i, j, far = i[may], j[may], far[may]
+            order = np.lexsort((far, i))
+            i, j, most = i[order], j[order], 1
+            while True:  # of each row the nearest ones, twice as many each time
+                apart = _tops(tree, i) != _tops(tree, j)
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    break
+                new = np.r_[True, i[1:] != i[:-1]]
+                now = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) < most
+                same = _similar(i[now], j[now], hashes, begin, n)
+                join(tree, i[now][same], j[now][same])
+                i, j, most = i[~now], j[~now], 2 * most
+        return _links(row, tree, first)
+
+    return _by_unit(batches, ("cluster", "part"), work)
+
+
+def _clusters(links: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cluster, row, root, chunks): the rows of the components of links that
+    have several of the roots; chunks: into how many a cluster is cut."""
+    ties = components(links)
+    rows = ties.select(F.col("node").alias("row"), F.col("root").alias("cluster")).unionAll(ties.select(F.col("root").alias("row"), F.col("root").alias("cluster")).distinct())
+    rows = stage(rows.join(roots, F.col("row") == F.col("node"), "left").select("cluster", "row", F.coalesce("root", "row").alias("root")), "tied")
+    of = rows.join(semi(sets.select("row", "n"), rows.select("row"), "row"), "row")
+    most = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    chunks = F.greatest(_chunks(F.col("rows")), F.when(F.col("n") <= 2 * HELD, 1).otherwise(F.ceil(F.col("n") / HELD)).cast("long"))
+    out = stage(rows.join(most.select("cluster", chunks.alias("chunks")), "cluster"), "clusters")
+    discard(ties, rows)
+    return out
+
+
 def groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct set of shingles: row (of the document with the
     least id that has it, null ids last, then the least row), id, and root, the
@@ -311,7 +411,7 @@ def groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str
     All texts without words are of one set. Empty table: no rows. Other columns
     are not looked at.
     """
-    texts = in_batches(docs).select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = in_batches(docs, BATCH).select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most MOST_FREQUENT longs
     marked = stage(texts.mapInArrow(lambda it: _prefixes(it, frequent.value), "row long, id long, n long, set0 long, set1 long, print binary, bits binary, keys array<long>"), "prefixes")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("x")
@@ -327,20 +427,13 @@ def groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str
     roots = components(near[0])
     of = _apart(hits.select("key", "row", "size"), roots)
     discard(hits)
-    every = near[0]
-    for k in range(ROUNDS + 1):
-        units = _units(of.join(prints, "row")).repartition("key", "part").sortWithinPartitions("key", "part")
-        pairs = units.mapInArrow(lambda it, radius=SOON if k < ROUNDS else wide.RADIUS, nearest=k < ROUNDS: _met(it, radius, nearest), "u long, v long, far long")
-        if k < ROUNDS:
-            pairs = pairs.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        near.append(_linked(_near(pairs, sets), texts))
-        every = every.unionAll(near[-1])
-        if k < ROUNDS:
-            roots = _replaced(roots, components(every))
-            of = _replaced(of, _apart(of.select("key", "row", "size"), roots))
-    roots = _replaced(roots, components(every))
-    discard(marked, of, *near)
+    units = _units(of.join(prints, "row").withColumn("chunks", _chunks(F.col("rows"))), "key", "size", "root", "print", "bits")
+    clusters = _clusters(units.mapInArrow(_met, "u long, v long"), roots, sets)
+    rows = semi(texts, clusters.select("row"), "row").join(clusters, "row")
+    near.append(stage(_units(rows, "cluster", "root", "text").mapInArrow(_joined, "u long, v long"), "joined"))
+    discard(roots)
+    roots = components(near[0].unionAll(near[1]))
+    discard(marked, of, clusters, *near)
     return distinct.join(roots, F.col("row") == F.col("node"), "left").select("row", "id", F.coalesce("root", "row").alias("root"))
 
 
@@ -350,25 +443,27 @@ def _favourite(met: DataFrame) -> DataFrame:
     return votes.groupBy("row").agg(F.max(F.struct("keys", (-F.col("v")).alias("less"))).alias("x")).select(F.col("row").alias("u"), (-F.col("x.less")).alias("v"))
 
 
-def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
-    discard(old)
-    return new
-
-
 def _apart(hits: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, row, size, root, rows) of the keys whose rows are of several
-    components; rows: how many the key has."""
+    components, of those that have the very same rows only the least; rows: how
+    many the key has."""
     of = hits.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "size", F.coalesce("root", "row").alias("root"))
-    apart = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows")).where("r0 < r1").select("key", "rows")
+    same = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"same{seed}") for seed in (1, 2)]
+    apart = of.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("rows"), *same).where("r0 < r1")
+    apart = apart.groupBy("rows", "same1", "same2").agg(F.min("key").alias("key")).select("key", "rows")
     return stage(of.join(apart, "key"), "apart")
 
 
-def _units(of: DataFrame) -> DataFrame:
-    """(key, part, row, size, root, print, bits): a key of up to CHUNK rows is one part.
-    A larger one is cut into chunks; part (i, j) is i * chunks + j, i < j, and a
-    chunk is in each part with another one."""
-    chunks = F.ceil(F.col("rows") / (CHUNK // 2)).cast("long")
+def _chunks(rows: Column) -> Column:
+    return F.when(rows <= CHUNK, 1).otherwise(F.ceil(rows / (CHUNK // 2))).cast("long")
+
+
+def _units(of: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, part, row, columns) dealt and sorted by key and part: a key of one
+    chunk is one part. One of more is cut into them; part (i, j) is i * chunks + j,
+    i < j, and a chunk is in each part with another one."""
+    chunks = F.col("chunks")
     own = F.pmod(F.xxhash64("row", F.lit(11)), chunks)
     other = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: j != own), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
-    parts = F.when(F.col("rows") <= CHUNK, F.array(F.lit(0).cast("long"))).otherwise(other)
-    return of.select("key", F.explode(parts).alias("part"), "row", "size", "root", "print", "bits")
+    parts = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(other)
+    return of.select(key, F.explode(parts).alias("part"), "row", *columns).repartition(key, "part").sortWithinPartitions(key, "part")
