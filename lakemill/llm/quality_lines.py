@@ -262,10 +262,15 @@ def counts(piece: Piece) -> tuple[np.ndarray, ...]:
 NEW = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "content_share": "double", "line_marks": "string", "kept": "boolean"}
 
 
+#: Bytes of texts that a Python worker gets at once, and that it cuts into words at once.
+BATCH = 4 << 20
+PIECE = 512 << 10
+
+
 def _label(batches: Iterator[pa.RecordBatch], text_col: str, field: Field | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         new: dict[str, list] = {c: [] for c in NEW}
-        for piece in pieces(batch.column(text_col)):
+        for piece in pieces(batch.column(text_col), limit=PIECE):
             n_words, chars, symbols, repeated = counts(piece)
             raw = piece.data.tobytes()
             own = [lines_of(raw[piece.rows[k] : piece.rows[k + 1]]) for k in range(piece.hi - piece.lo)]
@@ -295,4 +300,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     field = train(docs, labels, id_col, text_col, label_col, sample)
     out = docs.drop(*NEW).withColumns({c: F.lit(None).cast(kind) for c, kind in NEW.items()})
-    return in_batches(out).mapInArrow(lambda it: _label(it, text_col, field), out.schema)
+    return in_batches(out, BATCH).mapInArrow(lambda it: _label(it, text_col, field), out.schema)
